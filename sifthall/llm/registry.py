@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifthall.llm import encode, leaks, lookalikes, near_copies, quality, site_lines
+from sifthall.llm import encode, leaks, lookalikes, names, near_copies, quality, residue, site_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +44,23 @@ def p2_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.consistent(table(spark, sf_dir, "policy_documents"), ["title", "page_document_number"])
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found(table(spark, sf_dir, "policy_documents"), table(spark, sf_dir, "link_checks"))
+
+
+@query
+def p3_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with real content: (id)."""
+    docs = table(spark, sf_dir, "policy_documents")
+    return residue.content(docs.where("trim(body_text) <> ''"), residue.found(docs, table(spark, sf_dir, "link_checks")), "policy_documents").select("id")
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(*(table(spark, sf_dir, t) for t in ("policy_documents", "rule_findings", "agency_rules")))
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.found(table(spark, sf_dir, "policy_documents"))
