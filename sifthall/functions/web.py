@@ -132,8 +132,10 @@ def observed_status(statuses: Column) -> Column:
 
 def response_for(responses: Column, *urls: Column) -> Column:
     """Status of the last response (struct url, status) for the first of ``urls`` that has one, else of the last response."""
-    own = [F.try_element_at(F.filter(responses, lambda r, u=u: r["url"] == u), F.lit(-1))["status"] for u in urls]
-    return F.coalesce(*own, F.try_element_at(responses, F.lit(-1))["status"])
+    def last_of(url: Column) -> Column:
+        return F.try_element_at(F.filter(responses, lambda r: r["url"] == url), F.lit(-1))["status"]
+
+    return F.coalesce(*[last_of(u) for u in urls], F.try_element_at(responses, F.lit(-1))["status"])
 
 
 def walk_redirects(hops: Column, most: int = 6) -> Column:

@@ -54,4 +54,4 @@ def counters(log: DataFrame) -> DataFrame:
 
 def backoff(attempt: Column) -> Column:
     """struct(least, most) seconds to wait before a retry; null beyond the last."""
-    return F.when(attempt == 1, F.struct(F.lit(30).alias("least"), F.lit(60).alias("most"))).when(attempt == 2, F.struct(F.lit(120), F.lit(300)))
+    return F.when(attempt == 1, F.struct(F.lit(30).alias("least"), F.lit(60).alias("most"))).when(attempt == 2, F.struct(F.lit(120).alias("least"), F.lit(300).alias("most")))
