@@ -56,12 +56,32 @@ def document_number_parts(number: Column) -> Column:
     return F.struct(part(1).alias("prefix"), part(2).cast("int").alias("year"), part(3).cast("int").alias("index"))
 
 
+#: DOCUMENT_NUMBER read from its end, so that a search looks for one rare character instead of trying a run of ideographs
+#: from every position. The prefix ends where a number before it ends, as it does when numbers are read from the left.
+_FROM_THE_END = (
+    r"号\s*(\d{1,4})\s*[〕\]】)）]\s*(\d{2}(?:02|91))\s*[〔\[【(（]\s*"
+    r"((?:办|发|规|字|令)?(?:(?!号\s*\d{1,4}\s*[〕\]】)）]\s*\d{2}(?:02|91)\s*[〔\[【(（]\s*[\u4e00-\u9fff])[\u4e00-\u9fff]){1,12})"
+)
+
+#: Numbers that follow one another without a prefix of their own depend on what was read before them; such texts are read
+#: from the left.
+_IN_A_ROW = r"号\s*[〔\[【(（]\s*(?:20|19)\d{2}\s*[〕\]】)）]\s*\d{1,4}\s*号"
+
+#: What every number ends with: texts without it are told apart by one look at their closing brackets.
+_ANY_NUMBER = r"[〕\]】)）]\s*[0-9０-９]{1,4}\s*号"
+
+
 def document_numbers(text: Column) -> Column:
     """All document numbers of a text in one form, each once, in order; an empty array for null."""
     plain = _digits(F.coalesce(text, F.lit("")))
-    part = lambda k: F.regexp_extract_all(plain, F.lit(DOCUMENT_NUMBER), F.lit(k))
-    zipped = F.arrays_zip(part(1).alias("p"), part(2).alias("y"), part(3).alias("i"))
-    return F.array_distinct(F.transform(zipped, lambda m: _number(m["p"], m["y"], m["i"])))
+    backwards = F.reverse(plain)
+    end = lambda k: F.regexp_extract_all(backwards, F.lit(_FROM_THE_END), F.lit(k))
+    found = F.reverse(F.arrays_zip(end(1).alias("i"), end(2).alias("y"), end(3).alias("p")))
+    numbers = F.transform(found, lambda m: _number(F.reverse(m["p"]), F.reverse(m["y"]), F.reverse(m["i"])))
+    start = lambda k: F.regexp_extract_all(plain, F.lit(DOCUMENT_NUMBER), F.lit(k))
+    in_a_row = F.transform(F.arrays_zip(start(1).alias("p"), start(2).alias("y"), start(3).alias("i")), lambda m: _number(m["p"], m["y"], m["i"]))
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike(_ANY_NUMBER), F.array_distinct(F.when(plain.rlike(_IN_A_ROW), in_a_row).otherwise(numbers))).otherwise(none)
 
 
 def iso_date(text: Column) -> Column:

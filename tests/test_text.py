@@ -23,6 +23,18 @@ def test_document_numbers_in_order_once_without_connective(spark):
     assert got == [["沪府〔2026〕5号", "沪府办〔2026〕2号"], [], []]
 
 
+def test_document_numbers_as_read_from_the_left(spark):
+    import random
+
+    r = random.Random(3)
+    parts = ["沪府", "〔2026〕", "5号", "(1999)", " 12 号", "第5号", "办", "令", "规", "字", "见", "，", "号", "甲乙丙丁戊己庚辛壬癸子丑寅卯", "\n", "x", "〔2026〕5号", "【20２6】", "３号"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(600)]
+    digits = str.maketrans("０１２３４５６７８９", "0123456789")
+    want = [list(dict.fromkeys(re.sub(T.CONNECTIVE, "", p) + f"〔{y}〕{int(i)}号" for p, y, i in re.findall(T.DOCUMENT_NUMBER, t.translate(digits)))) for t in texts]
+    got = [x[0] for x in values(spark, [(t,) for t in texts], "x string", n=T.document_numbers(F.col("x")))]
+    assert got == want and sum(map(len, want)) > 100
+
+
 def test_dates(spark):
     rows = [("2026-07-03 09:49:12",), ("2026-7-3",), ("发布于2026年7月3日",), ("2026-13-40",), (None,)]
     got = values(spark, rows, "x string", a=T.iso_date(F.col("x")), b=T.any_date(F.col("x")))
