@@ -177,24 +177,28 @@ def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
     return low
 
 
-def slots_agree(raw_a: np.ndarray, raw_b: np.ndarray, automaton, width: int) -> tuple[int, int]:
-    """(slots in windows that both share, how many of them hold the same number or name) at the first such places."""
+def slots_agree(raw_a: np.ndarray, raw_b: np.ndarray, automaton, width: int, least_covered: float) -> tuple[float, int, int]:
+    """(share of b's template windows that a has, slots in them, slots that hold the same number, unit or name in both).
+    Below ``least_covered`` the slots are not looked at."""
     ta, pa_ = template(raw_a, automaton)
     tb, pb = template(raw_b, automaton)
     wa, wb = windows(ta, width), windows(tb, width)
     if not len(wa) or not len(wb):
-        return 0, 0
+        return 0.0, 0, 0
+    covered = float(np.isin(wb, wa).mean())
+    if covered < least_covered:
+        return covered, 0, 0
     _, ia, ib = np.intersect1d(wa, wb, return_indices=True)
     ea, eb = np.append(pa_, len(raw_a)), np.append(pb, len(raw_b))
-    seen: dict[int, tuple[int, bool]] = {}
+    seen: dict[int, bool] = {}
     for i, j in zip(ia, ib, strict=True):
         for k in np.flatnonzero(ta[i : i + width] >= NUMBER):
-            x, y = i + k, j + k
-            seen[int(x)] = (int(y), np.array_equal(raw_a[ea[x] : ea[x + 1]], raw_b[eb[y] : eb[y + 1]]))
-    return len(seen), sum(same for _, same in seen.values())
+            x, y = int(i + k), int(j + k)
+            seen[y] = np.array_equal(raw_a[ea[x] : ea[x + 1]], raw_b[eb[y] : eb[y + 1]])
+    return covered, len(seen), sum(seen.values())
 
 
-def _verify(texts: dict[int, str], names: list[str], width: int, least: int, slots_too: bool) -> Callable:
+def _verify(texts: dict[int, str], names: list[str], width: int, least: int, least_covered: float | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(names)
         items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -208,9 +212,10 @@ def _verify(texts: dict[int, str], names: list[str], width: int, least: int, slo
                         items[item_id] = (b := stream(texts[item_id]), windows(b, least))
                     b, own = items[item_id]
                     shared = len(runs) and len(own) and (runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own).any()
-                    slots, same = slots_agree(a, b, automaton, width) if slots_too and not shared else (0, 0)
-                    out.append((doc_id, item_id, longest_run(a, b, least) if shared else 0, slots, same))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ((),) * 5)], names=["doc_id", "item_id", "run_length", "slots", "slots_same"])
+                    slots = slots_agree(a, b, automaton, width, least_covered) if least_covered is not None and not shared else (0.0, 0, 0)
+                    out.append((doc_id, item_id, longest_run(a, b, least) if shared else 0, *slots))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((),) * 6, kinds, strict=True)], names=["doc_id", "item_id", "run_length", "covered", "slots", "slots_same"])
 
     return run
 
@@ -232,20 +237,23 @@ def candidates(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least:
     return hits.join(keys, ["kind", "hash"]).groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")), {r.item_id: r.item_text for r in held}, names
 
 
-def compare(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, slots_too: bool = True) -> DataFrame:
-    """(doc_id, item_id, run_length, slots, slots_same) of each pair that shares a template window; run_length is 0
-    if the longest common raw run is shorter than ``least``, and slots are compared then."""
+def compare(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, least_covered: float | None = None) -> DataFrame:
+    """(doc_id, item_id, run_length, covered, slots, slots_same) of each pair that shares a template window; run_length
+    is 0 if the longest common raw run is shorter than ``least``. Slots are compared then, if ``least_covered`` is given
+    and at least that share of the item's template stands in the document."""
     pairs, held, names = candidates(docs, items, width=width, least=least)
     pairs = stage(pairs, "leak-pairs")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
     both = texts.join(pairs, "doc_id").select("doc_id", "text", "item_ids")
-    return both.mapInArrow(_verify(held, names, width, least, slots_too), "doc_id bigint, item_id bigint, run_length bigint, slots bigint, slots_same bigint").distinct()
+    return both.mapInArrow(_verify(held, names, width, least, least_covered), "doc_id bigint, item_id bigint, run_length bigint, covered double, slots bigint, slots_same bigint").distinct()
 
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return compare(docs, items, slots_too=False).where("run_length > 0").select("doc_id", "item_id").distinct()
+    return compare(docs, items).where("run_length > 0").select("doc_id", "item_id").distinct()
 
 
-def reparameterised(docs: DataFrame, items: DataFrame, *, least_slots: int = 2) -> DataFrame:
-    """Pairs that share an item's template with other numbers or names: (doc_id, item_id, slots, slots_same)."""
-    return compare(docs, items).where((F.col("run_length") == 0) & (F.col("slots") >= least_slots) & (F.col("slots_same") < F.col("slots"))).select("doc_id", "item_id", "slots", "slots_same")
+def reparameterised(docs: DataFrame, items: DataFrame, *, least_covered: float = 0.8, least_slots: int = 1) -> DataFrame:
+    """Documents that hold at least ``least_covered`` of an item's template, but with other numbers or names in its slots:
+    (doc_id, item_id, slots, slots_same)."""
+    pairs = compare(docs, items, least_covered=least_covered)
+    return pairs.where((F.col("run_length") == 0) & (F.col("covered") >= least_covered) & (F.col("slots") >= least_slots) & (F.col("slots_same") < F.col("slots"))).select("doc_id", "item_id", "slots", "slots_same")
