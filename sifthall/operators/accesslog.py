@@ -1,10 +1,17 @@
-"""Operators on an access log (run, time, outcome): runs of failures, rests, gaps, elapsed time, counters."""
+"""Operators on an access log (run, time, outcome): runs of failures, rests, gaps, elapsed time, counters.
+
+Running values of a run are not windows over the whole run, which would bring a run with very many accesses to one task.
+Windows cover a run's accesses of one ``chunk`` of time; one row per run and chunk then carries what the chunks before it
+leave over (a small window over those rows), and is joined back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOUR = 3600
+
 
 def accesses(events: DataFrame) -> DataFrame:
     """(run_id, event_id, ts, status, failed) of an event table: errors fail, sign-ups are refused, the rest succeed."""
@@ -16,33 +23,55 @@ def _micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
-def _order(run: str = "run_id") -> Window:
-    return Window.partitionBy(run).orderBy("ts", "event_id")
+def _chunked(log: DataFrame, seconds: int) -> DataFrame:
+    return log.withColumn("at", _micros(F.col("ts"))).withColumn("chunk", F.floor(F.col("at") / (seconds * 1_000_000)))
+
+
+_WITHIN = ("run_id", "chunk")
+
+
+def _order() -> Window:
+    return Window.partitionBy(*_WITHIN).orderBy("at", "event_id")
+
+
+def _before() -> Window:
+    return Window.partitionBy("run_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def failure_runs(log: DataFrame, alarm: int = 3) -> DataFrame:
-    """Accesses that are part of at least ``alarm`` failures in a row within their run: (event_id, run_id, length)."""
-    w = _order()
-    islands = log.withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy("run_id", "failed").orderBy("ts", "event_id"))).where("failed")
-    at = F.row_number().over(Window.partitionBy("run_id", "island").orderBy("ts", "event_id"))
-    return islands.withColumn("length", at.cast("bigint")).where(F.col("length") >= alarm).select("event_id", "run_id", "length")
+def failure_runs(log: DataFrame, alarm: int = 3, chunk_seconds: int = 24 * HOUR) -> DataFrame:
+    """Accesses from the ``alarm``-th failure in a row of their run on: (event_id, run_id, length)."""
+    ok = (~F.col("failed")).cast("bigint")
+    rows = _chunked(log, chunk_seconds).withColumn("n_ok", F.sum(ok).over(_order())).withColumn("of_all", F.sum(ok).over(Window.partitionBy(*_WITHIN)))
+    rows = rows.withColumn("length", F.when(F.col("failed"), F.row_number().over(Window.partitionBy(*_WITHIN, "n_ok", "failed").orderBy("at", "event_id"))))
+    left = rows.groupBy(*_WITHIN).agg(F.count_if(F.col("failed") & (F.col("n_ok") == F.col("of_all"))).alias("trailing"), F.max("of_all").alias("of_all"))
+    # failures left over: of the last chunk with a success, and of all chunks of failures only since
+    upto = left.withColumn("sum_before", F.coalesce(F.sum("trailing").over(_before()), F.lit(0)))
+    since = F.max(F.when(F.col("of_all") > 0, F.col("sum_before"))).over(_before())
+    carried = upto.withColumn("carried", F.col("sum_before") - F.coalesce(since, F.lit(0))).select(*_WITHIN, "carried")
+    whole = rows.where("failed").join(carried, list(_WITHIN)).withColumn("length", (F.col("length") + F.when(F.col("n_ok") == 0, F.col("carried")).otherwise(0)).cast("bigint"))
+    return whole.where(F.col("length") >= alarm).select("event_id", "run_id", "length")
 
 
-def rest_points(log: DataFrame, every: int = 5) -> DataFrame:
-    """Successful accesses after which a run rests: each ``every``-th."""
-    n = F.row_number().over(_order())
-    return log.where("NOT failed").withColumn("n", n.cast("bigint")).where(F.col("n") % every == 0).select("event_id", "run_id", "n")
+def rest_points(log: DataFrame, every: int = 5, chunk_seconds: int = 24 * HOUR) -> DataFrame:
+    """Successful accesses after which a run rests: each ``every``-th of it."""
+    rows = _chunked(log.where("NOT failed"), chunk_seconds).withColumn("n", F.row_number().over(_order()))
+    counts = rows.groupBy(*_WITHIN).agg(F.count(F.lit(1)).alias("own"))
+    carried = counts.withColumn("carried", F.coalesce(F.sum("own").over(_before()), F.lit(0))).select(*_WITHIN, "carried")
+    return rows.join(carried, list(_WITHIN)).withColumn("n", (F.col("n") + F.col("carried")).cast("bigint")).where(F.col("n") % every == 0).select("event_id", "run_id", "n")
 
 
-def short_gaps(log: DataFrame, least_seconds: float) -> DataFrame:
-    """Accesses that follow the one before them in less than the least delay: (event_id, run_id, wait_us)."""
-    at, least = _micros(F.col("ts")), int(least_seconds * 1_000_000)
-    gap = at - F.lag(at).over(_order())
-    return log.withColumn("gap", gap).where(F.col("gap") < least).select("event_id", "run_id", (F.lit(least) - F.col("gap")).cast("bigint").alias("wait_us"))
+def short_gaps(log: DataFrame, least_seconds: float, chunk_seconds: int = 24 * HOUR) -> DataFrame:
+    """Accesses that follow the one before them in their run in less than the least delay: (event_id, run_id, wait_us)."""
+    least = int(least_seconds * 1_000_000)
+    rows = _chunked(log, chunk_seconds).withColumn("previous", F.lag("at").over(_order()))
+    last = rows.groupBy(*_WITHIN).agg(F.max("at").alias("last"))
+    carried = last.withColumn("carried", F.max("last").over(_before())).select(*_WITHIN, "carried")
+    gap = F.col("at") - F.coalesce("previous", "carried")
+    return rows.join(carried, list(_WITHIN)).withColumn("gap", gap).where(F.col("gap") < least).select("event_id", "run_id", (F.lit(least) - F.col("gap")).cast("bigint").alias("wait_us"))
 
 
 def elapsed(log: DataFrame) -> DataFrame:
-    """(run_id, n, elapsed_us) of each run: aggregates only, so that a long run is never brought to one task."""
+    """(run_id, n, elapsed_us) of each run."""
     return log.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), (_micros(F.max("ts")) - _micros(F.min("ts"))).alias("elapsed_us"))
 
 

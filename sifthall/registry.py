@@ -17,7 +17,7 @@ from sifthall.functions import web
 from sifthall.functions import workdays as W
 from sifthall.operators import accesslog as A
 from sifthall.operators import relational as R
-from sifthall.operators import report, review, rules, snapshots
+from sifthall.operators import inventory, report, review, rules, snapshots
 from sifthall.plans.merge import keyed_upsert, positions_marked, replaced
 from sifthall.streaming import jobs as S
 
@@ -333,6 +333,35 @@ def inventory_diff(items: DataFrame, jobs: DataFrame) -> DataFrame:
     return R.removed_since(items, items.join(newest.select("job_id"), "job_id", "left_semi"), ["target_key", "url"])
 
 
+@query("scan_item_results", "scan_jobs", sql="""
+WITH f AS (SELECT DISTINCT r.target_key, r.url, r.job_id FROM scan_item_results r JOIN scan_jobs j ON j.id = r.job_id AND j.mode = 'full' AND j.status = 'completed' WHERE r.url IS NOT NULL), n AS (SELECT target_key, max(job_id) AS job_id FROM f GROUP BY 1), s AS (SELECT target_key, url, min(job_id) AS first_job_id, max(job_id) AS last_job_id FROM scan_item_results WHERE url IS NOT NULL GROUP BY 1, 2)
+SELECT s.*, n.job_id IS NULL OR EXISTS (SELECT 1 FROM f WHERE f.target_key = s.target_key AND f.url = s.url AND f.job_id = n.job_id) AS is_present FROM s LEFT JOIN n ON n.target_key = s.target_key""")
+def inventory_state(items: DataFrame, jobs: DataFrame) -> DataFrame:
+    return inventory.state(items, jobs.where("mode = 'full' AND status = 'completed'"))
+
+
+@query("policy_documents", "agency_rules", sql="""
+WITH n AS (SELECT agency_name AS name, id, 0 AS level FROM agency_rules UNION ALL SELECT unnest(aliases), id, 1 FROM agency_rules), m AS (SELECT name, arg_min(id, level * 1000000 + id) AS agency_id FROM n WHERE name <> '' GROUP BY 1)
+SELECT d.id, m.agency_id FROM policy_documents d LEFT JOIN m ON m.name = d.issuing_agency""")
+def resolved_names(docs: DataFrame, agencies: DataFrame) -> DataFrame:
+    names = inventory.synonyms(agencies, "id", [F.array("agency_name"), F.coalesce("aliases", F.array().cast("array<string>"))])
+    return inventory.resolved(docs.select("id", "issuing_agency"), "issuing_agency", names, "agency_id").select("id", "agency_id")
+
+
+@query("scan_item_results", sql=rf"""
+WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, target_key, page_number, item_index ORDER BY id) AS n FROM scan_item_results WHERE page_number IS NOT NULL AND item_index IS NOT NULL AND target_key IS NOT NULL) WHERE n = 1), j AS (SELECT target_key, max(job_id) AS b FROM l GROUP BY 1), k AS (SELECT l.target_key, max(l.job_id) AS a FROM l JOIN j ON j.target_key = l.target_key AND l.job_id < j.b GROUP BY 1),
+a AS (SELECT l.* FROM l JOIN k ON k.target_key = l.target_key AND k.a = l.job_id), b AS (SELECT l.* FROM l JOIN j ON j.target_key = l.target_key AND j.b = l.job_id)
+SELECT coalesce(a.target_key, b.target_key) AS target_key, CAST(coalesce(a.page_number, b.page_number) AS BIGINT) AS page_number, CAST(coalesce(a.item_index, b.item_index) AS BIGINT) AS item_index, a.title AS left_value, b.title AS right_value FROM a FULL JOIN b ON a.target_key = b.target_key AND a.page_number = b.page_number AND a.item_index = b.item_index
+WHERE a.id IS NULL OR b.id IS NULL OR regexp_replace(a.title, '{_SPACE}+', '', 'g') IS DISTINCT FROM regexp_replace(b.title, '{_SPACE}+', '', 'g')""")
+def shifted_positions(items: DataFrame) -> DataFrame:
+    place = ["target_key", "page_number", "item_index"]
+    rows = R.best_per_key(items.where("page_number IS NOT NULL AND item_index IS NOT NULL AND target_key IS NOT NULL").select("job_id", *place, "title", "id"), ["job_id", *place], [-F.col("id")])
+    last = rows.groupBy("target_key").agg(F.max("job_id").alias("job_id"))
+    before = rows.join(last.withColumnRenamed("job_id", "last"), "target_key").where("job_id < last").groupBy("target_key").agg(F.max("job_id").alias("job_id"))
+    of = lambda jobs: rows.join(jobs, ["target_key", "job_id"], "left_semi")
+    return big(inventory.by_position(of(before), of(last), place, "title"))
+
+
 @query("scan_jobs", "scan_item_results", sql="""
 WITH n AS (SELECT j.id, j.status, count(r.id) AS n_items, count(DISTINCT r.target_key || '~' || r.url) AS n_unique, count(*) FILTER (detail_status IN ('checked_complete', 'checked_incomplete', 'no_header', 'reused', 'skipped')) AS n_done, count(*) FILTER (detail_status IN ('exception', 'review_required')) AS n_exceptions FROM scan_jobs j LEFT JOIN scan_item_results r ON r.job_id = j.id GROUP BY 1, 2)
 SELECT id, status, n_items, n_unique, n_done, n_exceptions, concat_ws('; ', CASE WHEN n_items = 0 THEN 'no entries' END, CASE WHEN n_items <> n_unique THEN 'entries repeat' END, CASE WHEN n_done < n_items THEN 'entries are open' END, CASE WHEN n_exceptions > 0 THEN 'exceptions are left' END) AS mismatches FROM n""")

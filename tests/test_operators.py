@@ -174,3 +174,28 @@ def test_pages(spark):
     got = {r.page_number: r.problems for r in R.page_checks(items, 3).collect()}
     assert got == {1: "", 2: "entries repeat; places repeat"}
     assert rows(spark.createDataFrame([(31,)], "n int").select(R.expected_pages(F.col("n"), 15), R.expected_rows(F.col("n"), F.lit(3), 15), R.expected_rows(F.col("n"), F.lit(4), 15))) == [(3, 1, 0)]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
+def test_access_log_is_the_same_in_any_chunks(spark, chunk):
+    import random
+
+    r = random.Random(chunk)
+    log = [(run, i, T0 + timedelta(seconds=r.randrange(40)), r.random() < 0.7) for i, run in enumerate([1] * 60 + [2] * 5)]
+    df = spark.createDataFrame(log, "run_id bigint, event_id bigint, ts timestamp, failed boolean")
+    fails, rests, gaps = set(), set(), set()
+    for run in (1, 2):
+        length = n = 0
+        before = None
+        for _, e, ts, failed in sorted((x for x in log if x[0] == run), key=lambda x: (x[2], x[1])):
+            length, n = (length + 1, n) if failed else (0, n + 1)
+            if length >= 2:
+                fails.add((e, run, length))
+            if not failed and n % 3 == 0:
+                rests.add((e, run, n))
+            if before and (ts - before).total_seconds() < 2:
+                gaps.add((e, run, 2_000_000 - int((ts - before).total_seconds() * 1e6)))
+            before = ts
+    assert set(rows(A.failure_runs(df, 2, chunk))) == fails
+    assert set(rows(A.rest_points(df, 3, chunk))) == rests
+    assert set(rows(A.short_gaps(df, 2, chunk))) == gaps
