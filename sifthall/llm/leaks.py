@@ -233,7 +233,7 @@ def candidates(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least:
     bits = np.zeros(1 << FILTER_BITS, dtype=bool)
     bits[_bits(np.array([r[1] for r in rows], dtype=np.int64))] = True
     packed = np.packbits(bits).tobytes()
-    hits = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= least // 4).mapInArrow(_window_hits(names, packed, dense > 0, width, least), "doc_id bigint, kind int, hash bigint")
+    hits = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text <> ''").mapInArrow(_window_hits(names, packed, dense > 0, width, least), "doc_id bigint, kind int, hash bigint")
     return hits.join(keys, ["kind", "hash"]).groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")), {r.item_id: r.item_text for r in held}, names
 
 

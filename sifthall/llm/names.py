@@ -52,6 +52,7 @@ ABBREVIATIONS = {
 }
 LEGAL = (("委员会", "委"), ("监督管理局", "监管局"), ("管理局", "局"), ("事务局", "局"), ("办公室", "办"), ("和", ""))
 IDLE = {"of", "the", "and"}
+MAX_CITIES = 10_000
 _SEPARATORS = re.compile(r"[、，；;\n]| / |,(?=\s*[一-鿿])")
 _IDEOGRAPH = re.compile(r"[一-鿿]")
 
@@ -140,18 +141,21 @@ def rewritings(district: str | None, name: str | None, aliases: list[str] | None
 
 def _reference(agencies: DataFrame) -> DataFrame:
     """(agency_id, level, key, form) of every rewriting. Cities are districts that end in 市; they may precede others."""
-    cities = agencies.where("district LIKE '%市'").agg(F.collect_set("district").alias("cities"))
+    held = agencies.where("district LIKE '%市'").select("district").distinct().limit(MAX_CITIES + 1).collect()
+    if len(held) > MAX_CITIES:
+        raise ValueError(f"more than {MAX_CITIES} cities")
+    cities = sorted(r.district for r in held)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.itertuples():
-                keys, full = rewritings(r.district, r.agency_name, list(r.aliases) if r.aliases is not None else [], list(r.cities))
+                keys, full = rewritings(r.district, r.agency_name, list(r.aliases) if r.aliases is not None else [], cities)
                 rows += [(r.id, 0, k, k) for k in keys]
                 rows += [(r.id, 1, k, f) for f in full for k in without_one(f)]
             yield pd.DataFrame(rows, columns=["agency_id", "level", "key", "form"])
 
-    return agencies.select("id", "district", "agency_name", "aliases").crossJoin(cities).mapInPandas(work, "agency_id bigint, level int, key string, form string")
+    return agencies.select("id", "district", "agency_name", "aliases").mapInPandas(work, "agency_id bigint, level int, key string, form string")
 
 
 def parts_of(field: str) -> list[str]:
