@@ -6,8 +6,10 @@ text may hold full-width digits or unusual white space. Null gives null unless a
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -171,3 +173,23 @@ def stable_identity(target: Column, record_id: Column, url: Column) -> Column:
     """``target|id:…``, else ``target|url:…``, else null."""
     ident, address = blank_to_null(strip(record_id.cast("string"))), blank_to_null(strip(url))
     return F.when(ident.isNotNull(), F.concat(target, F.lit("|id:"), ident)).when(address.isNotNull(), F.concat(target, F.lit("|url:"), address))
+
+
+def comparable(text: Column) -> Column:
+    """Compatibility form without white space, for comparing titles. There is no such built-in, so it is an Arrow-batched
+    function; use it on distinct values where there are many rows."""
+
+    def work(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else "".join(unicodedata.normalize("NFKC", v).split()))
+
+    return F.pandas_udf(work, "string")(text)
+
+
+def decoded(code: Column, labels: dict[str, str]) -> Column:
+    """The label of a code; an unknown code stays as it is."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])[code], code)
+
+
+def map_total(counts: Column) -> Column:
+    """Sum of a map's values; 0 for an empty map or null."""
+    return F.coalesce(F.aggregate(F.map_values(counts), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x.cast("bigint"), F.lit(0))), F.lit(0).cast("bigint"))

@@ -104,3 +104,23 @@ def anchors(html: Column) -> Column:
     pattern = r'(?is)<a\b[^>]*?\bhref\s*=\s*["\']([^"\']*)["\'][^>]*>(.*?)</a>'
     part = lambda k: F.regexp_extract_all(html, F.lit(pattern), F.lit(k))
     return F.transform(F.arrays_zip(part(1).alias("href"), part(2).alias("text")), lambda a: F.struct(a["href"].alias("href"), F.trim(F.regexp_replace(web.plain_text(a["text"]), r"(?U)\s+", " ")).alias("text")))
+
+
+def is_list_response(url: Column, request: Column, path: str, site: str) -> Column:
+    """Whether a captured answer is that of a list of exactly one site: by the end of its address and the request's body."""
+    asked = F.from_json(request, "siteIdList array<string>")["siteIdList"]
+    return F.coalesce(F.endswith(F.try_parse_url(url, F.lit("PATH")), F.lit(path)) & (asked == F.array(F.lit(site))), F.lit(False))
+
+
+def is_ready(text: Column) -> Column:
+    """Whether a detail page has come with its metadata."""
+    has = lambda word: F.contains(text, F.lit(word))
+    return F.coalesce(has("发布日期") & (has("发文单位") | has("发布机构")), F.lit(False))
+
+
+def ready_captures(captures: DataFrame, key: str, text: str, attempt: str, most: int = 2) -> DataFrame:
+    """One capture per page: the first of ``most`` that is ready, else the last of them."""
+    tried = captures.where(F.col(attempt) <= most)
+    rank = F.struct(is_ready(F.col(text)).cast("int").alias("ready"), F.when(is_ready(F.col(text)), -F.col(attempt)).otherwise(F.col(attempt)).alias("n"))
+    others = [c for c in captures.columns if c != key]
+    return tried.groupBy(key).agg(F.max_by(F.struct(*others), rank).alias("one")).select(key, "one.*")

@@ -121,3 +121,9 @@ def test_workday_overrides_and_range(spark):
 
 def test_stated_gap(spark):
     assert values(spark, [("相隔 22 个工作日",), ("无",)], "x string", g=W.stated_gap(F.col("x"))) == [(22,), (None,)]
+
+
+def test_comparable_decoded_and_totals(spark):
+    rows = [("Ａ　b", "x", {"a": 1, "b": None}), (None, "y", {}), ("", None, None)]
+    got = values(spark, rows, "t string, c string, m map<string,int>", t=T.comparable(F.col("t")), c=T.decoded(F.col("c"), {"x": "甲"}), m=T.map_total(F.col("m")))
+    assert got == [("Ab", "甲", 1), (None, "y", 0), ("", None, 0)]

@@ -104,3 +104,26 @@ def test_detail_inspection(spark):
     assert got[0].missing == ["发布日期"] and got[0].invalid == ["成文日期（格式无效）"]
     assert got[1]["values"]["索引号"] == "9" and len(got[1].missing) == 6
     assert got[2].header_detected is False and got[2]["values"] is None and got[3].missing is None
+
+
+def test_list_source_prunes_channels(spark, tmp_path):
+    from sifthall.sources.listing import CapturedLists
+
+    for channel, no, rows in (("3", 1, [1, 2]), ("3", 2, [3]), ("6", 1, [9])):
+        (tmp_path / channel).mkdir(exist_ok=True)
+        (tmp_path / channel / f"{no}.json").write_text(page(no, 3, rows))
+    (tmp_path / "6" / "2.json").write_text('{"data": null}')
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(CapturedLists)
+    lists = spark.read.format("captured_lists").option("path", str(tmp_path)).load()
+    assert lists.count() == 4
+    one = lists.where("channel_id = '3' AND item_index = 0")
+    assert {(r.requested_page, r.title, r.total_count) for r in one.collect()} == {(1, "t1", 3), (2, "t3", 3)}
+    assert one.rdd.getNumPartitions() == 1
+
+
+def test_matching_and_ready_captures(spark):
+    rows = [("https://a.example/api/list", '{"siteIdList": ["0070"]}'), ("https://a.example/api/list", '{"siteIdList": ["0070", "1"]}'), ("https://a.example/x", "{}"), (None, None)]
+    assert one(spark, rows, "u string, b string", C.is_list_response(F.col("u"), F.col("b"), "/api/list", "0070")) == [True, False, False, False]
+    caps = spark.createDataFrame([("p", 1, "加载中"), ("p", 2, "发布日期 发布机构"), ("p", 3, "x"), ("q", 1, "a"), ("q", 2, "b"), ("r", 1, "发布日期 发文单位"), ("r", 2, "发布日期 发文单位")], "k string, n int, t string")
+    assert {(r.k, r.n) for r in C.ready_captures(caps, "k", "t", "n").collect()} == {("p", 2), ("q", 2), ("r", 1)}
