@@ -17,8 +17,16 @@ from sifthall.plans.stage import broadcast_if_small
 SMALL = 100_000
 
 
-def best_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key with the greatest ``order``; give a unique last column to break ties. Null keys are a key."""
+def best_per_key(df: DataFrame, key: list[str], order: list[Column], columns: list[str] | None = None) -> DataFrame:
+    """The row of each key with the greatest ``order``; give a unique last column to break ties. Null keys are a key.
+
+    The row travels as one value, so that the scan reads each of its columns: name those that are needed."""
+    if columns is not None:
+        order_by = [o.alias(f"__o{i}") for i, o in enumerate(order)]
+        df = df.select(*key, *[c for c in columns if c not in key], *order_by)
+        kept = [*key, *[c for c in columns if c not in key]]
+        best = df.groupBy(*key).agg(F.max_by(F.struct(*kept[len(key) :]), F.struct(*[f"__o{i}" for i in range(len(order))])).alias("best"))
+        return best.select(*key, "best.*")
     others = [c for c in df.columns if c not in key]
     best = df.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("best"))
     return best.select(*key, "best.*").select(*df.columns)
@@ -47,11 +55,11 @@ def status_counts(df: DataFrame, key: list[str], column: str, values: list[str])
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values])
 
 
-def ordered_concat(df: DataFrame, key: list[str], order: str, parts: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row per key; each of ``parts`` (name: column, separator) joined in the order of ``order``. The lists are those
+def ordered_concat(df: DataFrame, key: list[str], order: str, parts: dict[str, tuple[str, str]], count: str | None = None) -> DataFrame:
+    """One row per key, with the number of its rows as ``count``; each of ``parts`` (name: column, separator) joined in the order of ``order``. The lists are those
     of one key and are meant for keys with a bounded number of rows, such as the findings of one document."""
     rows = F.array_sort(F.collect_list(F.struct(order, *dict.fromkeys(c for c, _ in parts.values()))))
-    return df.groupBy(*key).agg(rows.alias("__rows")).select(*key, *[F.array_join(F.col(f"__rows.{c}"), sep).alias(name) for name, (c, sep) in parts.items()])
+    return df.groupBy(*key).agg(rows.alias("__rows")).select(*key, *[F.array_join(F.col(f"__rows.{c}"), sep).alias(name) for name, (c, sep) in parts.items()], *([F.size("__rows").cast("bigint").alias(count)] if count else []))
 
 
 def effective_document(reused: str = "reused_document_id", own: str = "document_id") -> Column:
@@ -119,20 +127,20 @@ def issue_summary(items: DataFrame, findings: DataFrame, docs: DataFrame) -> Dat
     return listed.unionByName(rest).groupBy("source", "category").agg(F.sum("n").alias("n"))
 
 
-def metadata_issues(items: DataFrame) -> DataFrame:
+def metadata_issues(items: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per job and address with incomplete metadata: incomplete checks before others, then the first listed."""
     rows = items.where((F.size("missing_fields") > 0) | (F.col("detail_status") == "checked_incomplete"))
     first = [F.when(F.col("detail_status") == "checked_incomplete", 2).otherwise(1), -F.coalesce("page_number", F.lit(0)), -F.coalesce("item_index", F.lit(0)), -F.col("id")]
-    return best_per_key(rows, ["job_id", "url"], first)
+    return best_per_key(rows, ["job_id", "url"], first, columns)
 
 
-def best_rows(items: DataFrame, performed: list[str]) -> DataFrame:
+def best_rows(items: DataFrame, performed: list[str], columns: list[str] | None = None) -> DataFrame:
     """The row of each job and address that counts: performed statuses first, then the latest."""
-    return best_per_key(items, ["job_id", "url"], [F.col("detail_status").isin(performed).cast("int"), F.col("checked_at"), F.col("id")])
+    return best_per_key(items, ["job_id", "url"], [F.col("detail_status").isin(performed).cast("int"), F.col("checked_at"), F.col("id")], columns)
 
 
-def latest_rows(items: DataFrame) -> DataFrame:
-    return best_per_key(items, ["job_id", "target_key", "url"], [F.col("checked_at"), F.col("id")])
+def latest_rows(items: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    return best_per_key(items, ["job_id", "target_key", "url"], [F.col("checked_at"), F.col("id")], columns)
 
 
 def shared_addresses(items: DataFrame) -> DataFrame:
@@ -208,7 +216,7 @@ def coverage(jobs: DataFrame, items: DataFrame, done: list[str]) -> DataFrame:
 def reuse_decision(items: DataFrame, jobs: DataFrame, links: DataFrame, least_version: int = 1) -> DataFrame:
     """(id, can_reuse, reason) of each entry of an incremental job against the latest row of its baseline: one windowless
     de-duplication and one left join; the first reason that holds counts."""
-    base = latest_rows(items.where("url IS NOT NULL"))
+    base = latest_rows(items.where("url IS NOT NULL"), ["title", "listed_date", "detail_status", "link_check_version", "missing_fields", "document_id", "reused_document_id"])
     hidden = links.where("NOT coalesce(visible, false) OR review_status = 'legacy_hidden' OR trim(coalesce(source_area, '')) = ''").select("document_id", F.col("job_id"))
     old = base.select(
         F.col("job_id").alias("baseline"), "target_key", "url", F.col("title").alias("b_title"), F.col("listed_date").alias("b_date"), F.col("detail_status").alias("b_status"),

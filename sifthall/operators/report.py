@@ -40,10 +40,9 @@ def summary(jobs: DataFrame, items: DataFrame, findings: DataFrame, docs: DataFr
 
 def full_detail(items: DataFrame, findings: DataFrame) -> DataFrame:
     """Every entry with its state in words and the codes and details of its job's findings on its document."""
-    own = R.ordered_concat(findings, ["job_id", "document_id"], "id", {"codes": ("rule_code", "、"), "details": ("detail", "；")})
-    counted = findings.groupBy("job_id", "document_id").agg(F.count(F.lit(1)).alias("n_findings"))
+    own = R.ordered_concat(findings, ["job_id", "document_id"], "id", {"codes": ("rule_code", "、"), "details": ("detail", "；")}, "n_findings")
     i = items.withColumn("effective_id", R.effective_document())
-    joined = i.join(own.join(counted, ["job_id", "document_id"]).withColumnRenamed("document_id", "effective_id"), ["job_id", "effective_id"], "left")
+    joined = i.join(own.withColumnRenamed("document_id", "effective_id"), ["job_id", "effective_id"], "left")
     parts = T.document_number_parts(T.document_number(F.col("page_document_number")))
     return joined.select(
         "id", "job_id", "source_label", "page_number", "item_index", "title", "url", "listed_date", header_state().alias("header_state"), or_platform("topic_category").alias("topic"),

@@ -299,7 +299,7 @@ def issue_summary(items: DataFrame, findings: DataFrame, docs: DataFrame) -> Dat
 
 @query("scan_item_results", sql="SELECT job_id, url, id, detail_status FROM (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY CASE WHEN detail_status = 'checked_incomplete' THEN 2 ELSE 1 END DESC, coalesce(page_number, 0), coalesce(item_index, 0), id) AS n FROM scan_item_results WHERE len(missing_fields) > 0 OR detail_status = 'checked_incomplete') WHERE n = 1")
 def metadata_argmax(items: DataFrame) -> DataFrame:
-    return R.metadata_issues(items).select("job_id", "url", "id", "detail_status")
+    return R.metadata_issues(items, ["id", "detail_status"])
 
 
 @query("rule_findings", sql="SELECT job_id, document_id, string_agg(rule_code, '、' ORDER BY id, rule_code, detail) AS codes, string_agg(detail, '；' ORDER BY id, rule_code, detail) AS details FROM rule_findings GROUP BY 1, 2")
@@ -309,12 +309,12 @@ def codes_concat(findings: DataFrame) -> DataFrame:
 
 @query("scan_item_results", sql="SELECT job_id, target_key, url, id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, target_key, url ORDER BY checked_at DESC NULLS LAST, id DESC) AS n FROM scan_item_results) WHERE n = 1")
 def latest_row(items: DataFrame) -> DataFrame:
-    return R.latest_rows(items).select("job_id", "target_key", "url", "id")
+    return R.latest_rows(items, ["id"])
 
 
 @query("scan_item_results", sql="SELECT job_id, url, id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY detail_status IN ('checked_complete', 'checked_incomplete', 'no_header') DESC, checked_at DESC NULLS LAST, id DESC) AS n FROM scan_item_results) WHERE n = 1")
 def best_row(items: DataFrame) -> DataFrame:
-    return R.best_rows(items, ["checked_complete", "checked_incomplete", "no_header"]).select("job_id", "url", "id")
+    return R.best_rows(items, ["checked_complete", "checked_incomplete", "no_header"], ["id"])
 
 
 @query("scan_item_results", sql="SELECT target_key, url, min(job_id) AS job_id FROM scan_item_results WHERE url IS NOT NULL GROUP BY 1, 2")
