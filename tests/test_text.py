@@ -1,5 +1,6 @@
 import re
-from datetime import date
+from datetime import date, timedelta
+from itertools import dropwhile, takewhile
 
 from pyspark.sql import functions as F
 
@@ -42,28 +43,27 @@ def test_dates(spark):
     assert got == [(d, d), (None, None), (None, d), (None, None), (None, None)]
 
 
+def block_above(lines):
+    """The last block without blank lines."""
+    upwards = dropwhile(lambda x: not x, reversed(lines))
+    return " ".join(takewhile(bool, upwards))
+
+
 def signed_by_hand(text, agency, as_of):
     lines = [x.strip() for x in (text or "").splitlines()]
-    for i, line in enumerate(lines):
-        m = re.fullmatch(T.FULL_DATE, line)
-        if not m or any(w in " ".join(lines[max(0, i - 2) : i + 1]) for w in T.NOT_A_SIGNATURE):
-            continue
-        try:
-            d = date(*map(int, m.groups()))
-        except ValueError:
-            continue
-        if not date(1990, 1, 1) <= d <= date.fromordinal(as_of.toordinal() + 366):
-            continue
-        block = []
-        for before in reversed(lines[max(0, i - 6) : i]):
-            if before:
-                block.append(before)
-            elif block:
-                break
-        block = " ".join(block)
-        if (agency and agency in block) or any(w in block for w in T.SIGNING_BODIES):
-            return d
-    return None
+    words = T.SIGNING_BODIES + ((agency,) if agency else ())
+    dated = {i: m for i, x in enumerate(lines) if (m := re.fullmatch(T.FULL_DATE, x))}
+    valid = {i: d for i, m in dated.items() if (d := real(*m.groups())) and date(1990, 1, 1) <= d <= as_of + timedelta(366)}
+    free = [i for i in valid if not re.search("|".join(T.NOT_A_SIGNATURE), " ".join(lines[max(i - 2, 0) : i + 1]))]
+    signed = [i for i in free if any(w in block_above(lines[max(i - 6, 0) : i]) for w in words)]
+    return valid[min(signed)] if signed else None
+
+
+def real(year, month, day):
+    try:
+        return date(int(year), int(month), int(day))
+    except ValueError:
+        return None
 
 
 def test_signature_date_against_brute_force(spark, data):
