@@ -55,6 +55,16 @@ def test_near_copies_of_what_all_share(spark):
     assert M.found(docs).count() == 60 * 59 // 2
 
 
+def test_a_group_of_more_near_copies_than_a_list_holds(spark):
+    """Each also shares a rare passage with a text of its own, so that it has other values to be found by."""
+    base = prose(11, 160)
+    copies = [(i, None, edited(base, i, 4) + prose(500 + i, 12)) for i in range(45)]
+    others = [(100 + i, None, prose(700 + i, 80) + prose(500 + i, 12)) for i in range(45)]
+    got = {(r.id_a, r.id_b) for r in M.found(spark.createDataFrame(copies + others, "id bigint, title string, body_text string")).collect()}
+    want = {(i, j) for (i, _, a), (j, _, b) in combinations(copies + others, 2) if share(a, b) >= 0.5}
+    assert not got - want and len(want) >= 900 and len(got) >= 0.98 * len(want)
+
+
 def test_near_copies_of_nothing(spark):
     docs = spark.createDataFrame([], "id bigint, title string, body_text string")
     assert M.found(docs).count() == 0
