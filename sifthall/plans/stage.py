@@ -22,9 +22,19 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/sifthall/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/sifthall/{name}-{uuid.uuid4().hex}"
+    return f"{_own_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application staged. Results that were not written elsewhere can't be read after it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -53,3 +53,15 @@ def test_positions_and_enrichment(spark):
     rel = spark.createDataFrame([(1, "body", "y"), (2, "side", "z")], "k int, area string, text string")
     assert rows(I.enriched(links, rel, "k", ["area", "text"], False)) == [(1, "body", "x"), (2, "own", "z")]
     assert rows(I.enriched(links, rel, "k", ["area", "text"], True)) == [(1, "body", "y"), (2, "side", "z")]
+
+
+def test_staged_tables_and_broadcast_checks(spark):
+    from sifthall.plans.stage import broadcast_if_small, clear, stage
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    kept = stage(df, "t")
+    assert rows(kept) == rows(df) and kept.schema == df.schema
+    hinted = lambda n: "broadcast" in broadcast_if_small(df, n)._jdf.queryExecution().logical().toString().lower()
+    assert hinted(2) and not hinted(1)
+    clear(spark)
+    assert rows(stage(df, "t")) == rows(df)
