@@ -65,6 +65,14 @@ def test_a_group_of_more_near_copies_than_a_list_holds(spark):
     assert not got - want and len(want) >= 900 and len(got) >= 0.98 * len(want)
 
 
+def test_near_copies_of_one_repeated_phrase(spark):
+    """Few distinct runs, so that the hashes of a sketch go up to the largest."""
+    phrases = ["本页内容正在维护请稍候再来谢谢您的支持与理解。", "abcdefghij klmnopqrstuvw xyz,", "此处判决从略，当事人可以向本院查阅全文并复制，", "0123456789 9876543210 "]
+    docs = [(10 * i + j, None, p * 20 + "终" * j) for i, p in enumerate(phrases) for j in range(3)]
+    want = {(i, j) for (i, _, a), (j, _, b) in combinations(docs, 2) if share(a, b) >= 0.5}
+    assert {(r.id_a, r.id_b) for r in M.found(spark.createDataFrame(docs, "id bigint, title string, body_text string")).collect()} == want and len(want) == 12
+
+
 def test_near_copies_of_nothing(spark):
     docs = spark.createDataFrame([], "id bigint, title string, body_text string")
     assert M.found(docs).count() == 0
