@@ -65,6 +65,27 @@ def test_a_group_of_more_near_copies_than_a_list_holds(spark):
     assert not got - want and len(want) >= 900 and len(got) >= 0.98 * len(want)
 
 
+def runs_of(text, run=5):
+    text = "".join(text.split())
+    return {text[i : i + run] for i in range(len(text) - run + 1)}
+
+
+def test_a_group_of_hundreds_with_shares_near_the_threshold(spark):
+    """Copies of which half differs, each with a passage of a text of its own; and sets of few runs that all texts share."""
+    base = prose(21, 330)
+    copies = [(i, None, edited(base, 900 + i, 28) + prose(2000 + i, 20)) for i in range(200)]
+    others = [(1000 + i, None, prose(3000 + i, 200) + prose(2000 + i, 20)) for i in range(200)]
+    few = [(5000 + i, None, "一" * (200 + i) + chr(0x4E10 + i) * (i % 4)) for i in range(60)]
+    docs = copies + others + few
+    sets = {i: runs_of(t) for i, _, t in docs}
+    shares = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in combinations(sets, 2)}
+    want = {p for p, x in shares.items() if x >= 0.5}
+    near = {p for p in want if shares[p] < 0.6 and p[1] < 1000}
+    got = {(r.id_a, r.id_b) for r in M.found(spark.createDataFrame(docs, "id bigint, title string, body_text string")).collect()}
+    assert not got - want and len(near) >= 10_000
+    assert len(near & got) >= 0.998 * len(near) and not {p for p in want - got if p[0] >= 5000}
+
+
 def test_near_copies_of_one_repeated_phrase(spark):
     """Few distinct runs, so that the hashes of a sketch go up to the largest."""
     phrases = ["本页内容正在维护请稍候再来谢谢您的支持与理解。", "abcdefghij klmnopqrstuvw xyz,", "此处判决从略，当事人可以向本院查阅全文并复制，", "0123456789 9876543210 "]
