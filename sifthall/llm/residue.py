@@ -2,15 +2,14 @@
 
 Texts are cut into units: lines (and, of titles, the parts between a site's additions). A unit is trusted residue if it
 holds unfilled placeholder syntax, or as a whole reads as filler, as an error message or as a notice on scripts. Short
-units get a SimHash of their character pairs; seven tables, each by a piece of the hash and the unit's length class, bring
-near-duplicates together, which are verified by Hamming distance and by edit similarity; labels spread from the trusted
-units along these links until nothing is added, which is the connected components that hold a trusted unit. Only links
-from labelled to unlabelled units are made, never all pairs of a bucket.
+units that are alike by edit similarity are brought together by pieces that one of them must share with the other, so that
+none is missed, and verified; labels spread from the trusted units along these links until nothing is added, which is the
+connected components that hold a trusted unit. Only links from labelled to unlabelled units are made.
 
 A sentence of real text that speaks of such things is no unit that reads as a whole like one, and is not marked.
 
 Edge cases: null, empty and blank texts are no cases; texts of any length are read whole (long lines are searched for
-placeholders and repetition, but have no SimHash); repeated rows count once per id; empty tables give no rows; further
+placeholders and repetition, but labels do not spread to them); repeated rows count once per id; empty tables give no rows; further
 columns are ignored.
 """
 
@@ -26,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifthall.llm.chars import SIZE, chunks, codes, line_table, mix, prefix_sums, span_hashes
-from sifthall.plans.stage import stage
+from sifthall.plans.stage import broadcast_if_small, stage
 
-SHORT, MAX_HAMMING, SIMILARITY, TABLES = 80, 6, 0.8, 7
+SHORT, SIMILARITY = 80, 0.8
+#: At most so many pieces of labelled units are broadcast; more are met by a shuffle join.
+BROADCAST_PIECES = 500_000
 
 # The syntax of placeholders of common template languages and forms.
 PLACEHOLDER = re.compile(
@@ -164,11 +165,6 @@ def _read(title: bool):
     return work
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([simhash(u) for u in batch.column(0).to_pylist()], pa.int64())], names=["unit", "trusted", "simhash"])
-
-
 def read_units(table: DataFrame, name: str, text: str, key: str = "id", title: bool = False) -> DataFrame:
     """(record_table, record_id, unit, trusted): a row with a null unit marks a record that is residue for certain."""
     rows = table.where(F.trim(text) != "").select(F.col(key).cast("bigint").alias("record_id"), F.col(text).cast("string").alias("text"))
@@ -176,24 +172,30 @@ def read_units(table: DataFrame, name: str, text: str, key: str = "id", title: b
 
 
 def spread(units: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Units (unit) that near-duplicate links join to a trusted one, of ``units`` (unit, trusted), one row each."""
-    hashed = stage(units.where("unit <> ''").mapInArrow(_hashes, "unit string, trusted boolean, simhash bigint"), "residue-units")
-    length = F.floor(F.log(F.length("unit")) / F.log(F.lit(1.25))).cast("int")
-    width = 63 // TABLES
-    pieces = F.expr(f"explode(transform(sequence(0, {TABLES - 1}), t -> struct(t AS table, shiftright(simhash, t * {width}) & {(1 << width) - 1} AS piece)))")
-    tables = lambda df: df.withColumn("size", length).withColumn("at", pieces).select("unit", "simhash", "size", "at.table", "at.piece")
-    labelled = frontier = hashed.where("trusted").select("unit", "simhash")
-    rest = hashed.where("NOT trusted").select("unit", "simhash")
+    """Units (unit) that near-duplicate links join to a trusted one, of ``units`` (unit, trusted), one row each.
+
+    Of two units of edit similarity ``SIMILARITY`` or more, at most a quarter as many edits as the labelled one has
+    characters lie between them. It is cut into one piece more, so that one piece stands unchanged in the other, moved
+    by no more than the edits."""
+    read = stage(units.where("unit <> ''").select("unit", "trusted"), "residue-units")
+    pieces = "transform(sequence(0, edits), i -> struct(length(unit) * i div (edits + 1) AS at, substring(unit, int(length(unit) * i div (edits + 1)) + 1, int(length(unit) * (i + 1) div (edits + 1) - length(unit) * i div (edits + 1))) AS piece))"
+    grams = "flatten(transform(sequence(2, 4), q -> transform(sequence(1, length(unit) - q + 1), p -> struct(p - 1 AS at, substring(unit, p, q) AS piece))))"
+    labelled = frontier = read.where("trusted").select("unit")
+    rest = read.where("NOT trusted").select("unit")
     new_labels: DataFrame | None = None
     for _ in range(max_rounds):
-        near = tables(frontier).withColumn("size", F.explode(F.expr("array(size - 1, size, size + 1)"))).select(F.col("unit").alias("from"), F.col("simhash").alias("from_hash"), "size", "table", "piece")
-        met = tables(rest).join(near, ["size", "table", "piece"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("from_hash"))) <= MAX_HAMMING)
+        cut = frontier.where("length(unit) >= 4").withColumn("edits", F.expr("int(length(unit) div 4)")).withColumn("p", F.explode(F.expr(pieces)))
+        cut = cut.select(F.col("unit").alias("from"), "edits", F.col("p.at").alias("from_at"), "p.piece")
+        held = rest.where("length(unit) >= 4").withColumn("p", F.explode(F.expr(grams))).select("unit", "p.at", "p.piece")
+        known = broadcast_if_small(cut.select("piece").distinct(), BROADCAST_PIECES)
+        met = held.join(known, "piece", "left_semi").join(cut, "piece").where("abs(at - from_at) <= edits AND abs(length(unit) - length(from)) <= edits")
+        met = met.select("unit", "from").distinct()
         alike = 1 - F.levenshtein("unit", "from") / F.greatest(F.length("unit"), F.length("from")) >= SIMILARITY
-        frontier = stage(met.where(alike).select("unit", "simhash").distinct(), "residue-round")
+        frontier = stage(met.where(alike).select("unit").distinct(), "residue-round")
         if frontier.isEmpty():
             break
         new_labels = frontier if new_labels is None else new_labels.unionByName(frontier)
-        rest = rest.join(frontier.select("unit"), "unit", "left_anti")
+        rest = rest.join(frontier, "unit", "left_anti")
     else:
         raise RuntimeError(f"labels still spread after {max_rounds} rounds")
     found = labelled.select("unit")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,38 @@ def test_labels_spread_over_near_duplicates(spark):
     assert R.spread(units.limit(0)).count() == 0
 
 
+def test_every_unit_of_the_similarity_is_reached(spark):
+    """Against plain edit distances, over short and long units with edits up to a fifth and above."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(5)
+    sign = lambda: chr(r.randrange(0x4E00, 0x9000))
+    seeds = ["".join(sign() for _ in range(n)) for n in (4, 5, 6, 8, 10, 12, 16, 20, 30, 45, 64)]
+    others = []
+    for seed in seeds:
+        for k in range(len(seed) // 4 + 3):
+            for _ in range(4):
+                x = list(seed)
+                for _ in range(k):
+                    i = r.randrange(len(x))
+                    x[i : i + 1] = r.choice([[], [sign()], [x[i], sign()]])
+                    x = x or [sign()]
+                others.append("".join(x))
+    others = sorted({x for x in others} - set(seeds))
+    label, more = set(seeds), set(seeds)
+    while more:
+        more = {x for x in others if x not in label and any(1 - distance(x, y) / max(len(x), len(y)) >= 0.8 for y in more)}
+        label |= more
+    got = {x.unit for x in R.spread(spark.createDataFrame([(x, True) for x in seeds] + [(x, False) for x in others], "unit string, trusted boolean")).collect()}
+    assert got == label and len(others) > len(label) - len(seeds) > 100
+
+
 def test_simhash_is_close_for_close_texts():
     a, b, c = (R.simhash(x) for x in ("the upstream service did not reply to this page", "the upstream service did not reply to that page", "关于印发实施方案的通知及附件说明"))
     assert bin(a ^ b).count("1") < bin(a ^ c).count("1")
