@@ -1,6 +1,6 @@
 """Template residue, filler, error pages and script notices: found by trusted patterns and their near-duplicates.
 
-Texts are cut into units: lines (and, of titles, the parts between a site's additions). A unit is trusted residue if it
+Texts are cut into units: lines, the sentences of long lines (and, of titles, the parts between a site's additions). A unit is trusted residue if it
 holds unfilled placeholder syntax, or as a whole reads as filler, as an error message or as a notice on scripts. Short
 units that are alike by edit similarity are brought together by pieces that one of them must share with the other, so that
 none is missed, and verified; labels spread from the trusted units along these links until nothing is added, which is the
@@ -66,6 +66,7 @@ _SCRIPT = re.compile(r"java\s*script|(?<![a-z])js(?![a-z])|脚本|\bscript(?:s|i
 _NEEDED = re.compile(r"需要|依赖|要求|启用|开启|打开|允许|禁用|不支持|已关闭|被关闭|关闭了|\b(?:needed|required?s?|enabled?|allow(?:ed)?|switch(?:ed)?|turn(?:ed)?|blocked|disabled|off)\b", re.IGNORECASE)
 _PAGE = re.compile(r"本页|设置|显示|应用|浏览|页面|网页|访问|内容|站|刷新|加载|检测|当前|\b(?:page|browser|site|app|content|settings|reload|load|read|view|continue|javascript|scripts?|scripting)\b", re.IGNORECASE)
 _PARTS = re.compile(r"\s[-–—|]\s|[_|]|(?<=[一-鿿])[-:](?=\S)")
+_SENTENCES = re.compile(r"(?<=[。！？；])|(?<=[.!?;])\s+")
 _EDGES = " \t\r　.。!！…?？~"
 _REPEAT = re.compile(r"(\S.{0,11}?)\1{3,}")
 
@@ -128,6 +129,8 @@ def units_of(text: str, title: bool) -> tuple[bool, list[tuple[str, bool]]]:
         parts = [line]
         if title:
             parts += [p for p in _PARTS.split(line) if p.strip() and p != line]
+        if len(line) > SHORT:
+            parts += [x for x in dict.fromkeys(y.strip() for y in _SENTENCES.split(line)) if x and x not in parts]
         for part in parts:
             trusted = reads_as_residue(part)
             sure |= trusted

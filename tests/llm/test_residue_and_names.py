@@ -40,6 +40,16 @@ def test_residue_within_long_texts_and_lines(spark):
     assert marked(spark, bodies, [None, ""]) == {("policy_documents", 0), ("policy_documents", 1), ("policy_documents", 2)}
 
 
+def test_notices_and_messages_in_long_lines(spark):
+    bodies = [
+        "We're sorry but this site doesn't work properly without JavaScript enabled. Please enable it to continue.",
+        "HTTP Status 404. Page not found. The server could not find the page that was asked for by this client, so that nothing can be shown here.",
+        "".join(x for x in REAL if x.endswith("。") and "<" not in x) * 2,
+    ]
+    assert all(len(x) > R.SHORT for x in bodies)
+    assert marked(spark, bodies, []) == {("policy_documents", 0), ("policy_documents", 1)}
+
+
 def test_labels_spread_over_near_duplicates(spark):
     units = spark.createDataFrame([("the upstream service did not reply to the page, see the log of the day", True), ("the upstream service did not reply to the page, see the logs of the day", False), ("the upstream service did not reply to the page, see the logs of that day", False), ("something else that is long enough to be told apart from the above", False)], "unit string, trusted boolean")
     assert R.spread(units).count() in (2, 3)  # by the pieces of the hash the second or both are met
