@@ -1,15 +1,18 @@
 """Per-document text statistics and fixed-threshold rules that tell prose from lists, tables and junk.
 
-All counts are prefix sums over the code points of many documents at once. The rules are of the published kind
-(share of common words, sentence ends, symbols, bullets, repeated runs); each failed rule is recorded by name.
+All counts are prefix sums over the code points of many documents at once. The rules are of the kind that is published for web
+corpora: one threshold on one statistic each (``RULES``). Every rule is looked at for every document, and every rule that it
+fails is recorded by name; no rule waits for another. Rules of form decide (``DECISIVE``): failing one of them is enough. Rules of
+length (few words, unusual word length) are recorded only, since a short text may be prose.
 
 A line is prose if its common words reach a share of its words (Latin words and single ideographs; the shares differ by
-script) it is not made of marks and
-digits, and it either has a sentence end or is long. A document fails ``little_prose`` if prose lines hold less than
-half of its characters other than white space, and ``repeated`` if most of its runs of 8 characters repeat.
+script), it is not made of marks and digits, and it either has a sentence end or is long. A document fails ``little_prose`` if
+prose lines hold less than half of its characters other than white space: that is a list or a table within one line, which
+has no lines to be counted.
 
 Edge cases: null, empty and blank texts have null shares and no reasons; texts of any length are read whole; no common
-words given means that none counts; repeated ids give repeated rows; further columns are ignored.
+words given means that none counts, so that ``few_common_words`` and ``little_prose`` fail every text; repeated ids give
+repeated rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,13 @@ BULLETS = "•●○◦■□◆◇▪▫–—-*·>＞|"
 #: Share of a line's words that must be common words, by script; published rules for prose ask for a floor of this kind.
 LATIN_COMMON, IDEOGRAPH_COMMON = 0.15, 0.05
 MARKS_AND_DIGITS = 0.45
-PROSE_SHARE, LONG_LINE, REPEATED_SHARE, REPEAT_RUN = 0.5, 80, 0.7, 8
+PROSE_SHARE, LONG_LINE, REPEAT_RUN = 0.5, 80, 8
+# The rules by the name of the reason, as the least or greatest value that passes.
+LEAST_LINE_ENDS, MOST_BULLETS, MOST_SYMBOLS, MOST_DIGITS, LEAST_COMMON, MOST_REPEATED = 0.12, 0.9, 0.2, 0.2, 0.05, 0.5
+LEAST_WORDS, WORD_LENGTHS = 20, (3.0, 10.0)
+#: Failing one of these makes a list, a table or junk.
+DECISIVE = ("few_line_ends", "bullets", "symbols", "digits", "few_common_words", "repeated", "little_prose")
+RULES = (*DECISIVE, "few_words", "word_length")
 SCHEMA = "doc_id bigint, n_chars bigint, n_words bigint, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines bigint, end_line_share double, bullet_line_share double, common_word_share double, prose_share double, repeated_share double, reasons array<string>"
 
 SPACE, LATIN, IDEOGRAPH, DIGIT, OTHER_LETTER, SYMBOL = range(6)
@@ -79,15 +88,16 @@ def _isin(x: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class Common:
-    """Look-ups for the common words: hashes of Latin words, single ideographs, and pairs of ideographs."""
+    """Look-ups for the common words: hashes of words of letters, which count as whole words, single ideographs, and hashes of
+    longer runs with ideographs by their length, which count wherever they stand."""
 
     def __init__(self, words: list[str]):
-        latin = [w.lower() for w in words if w and w.isascii()]
-        parts = [codes(w) for w in latin]
-        self.latin = np.sort(np.concatenate([span_hashes(prefix_sums(p), np.array([0]), np.array([len(p)])) for p in parts])) if parts else np.empty(0, dtype=np.int64)
-        others = [codes(w).astype(np.int64) for w in words if w and not w.isascii()]
-        self.single = np.array(sorted(int(w[0]) for w in others if len(w) == 1), dtype=np.int64)
-        self.pair = np.array(sorted(int(w[0]) << 21 | int(w[1]) for w in others if len(w) == 2), dtype=np.int64)
+        forms = [_lower()[codes(w)] for w in words if w]
+        lettered = [f for f in forms if (_classes()[f] == LATIN).all()]
+        others = [f for f in forms if not (_classes()[f] == LATIN).all()]
+        self.latin = np.sort(np.concatenate([windows(f, len(f)) for f in lettered])) if lettered else np.empty(0, dtype=np.int64)
+        self.single = np.array(sorted(int(f[0]) for f in others if len(f) == 1), dtype=np.int64)
+        self.runs = {n: np.sort(np.concatenate([windows(f, n) for f in others if len(f) == n])) for n in sorted({len(f) for f in others}) if n > 1}
 
 
 def statistics(texts: list[str | None], common: Common) -> list[tuple]:
@@ -112,15 +122,15 @@ def statistics(texts: list[str | None], common: Common) -> list[tuple]:
     word_at, common_at = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     word_at[w0] = True
     common_at[w0[is_common]] = True
-    # ideographs: those in a common pair or common by themselves
-    wide = raw.astype(np.int64)
-    pair = np.zeros(n, dtype=bool)
-    if n > 1 and len(common.pair):
-        hit = _isin(wide[:-1] << 21 | wide[1:], common.pair)
-        pair[:-1] |= hit
-        pair[1:] |= hit
+    # ideographs: those in a common run or common by themselves
+    low = _lower()[raw]
+    run_at = np.zeros(n, dtype=bool)
+    for size, hashes in common.runs.items():
+        hit = np.flatnonzero(_isin(windows(low, size), hashes))
+        for k in range(size):
+            run_at[hit + k] = True
     han = kind == IDEOGRAPH
-    han_common = han & (pair | _isin(wide, common.single))
+    han_common = han & (run_at | _isin(raw.astype(np.int64), common.single))
     lw, lc, hw, hc = per_line(word_at), per_line(common_at), per_line(han), per_line(han_common)
     other = per_line(kind == OTHER_LETTER)
     # sentence ends: a full stop counts if white space or the line's end follows
@@ -167,11 +177,14 @@ def statistics(texts: list[str | None], common: Common) -> list[tuple]:
         s = {name: float(v[k]) for name, v in stats.items()} | {"size": float(n_solid[k]), "words": float(words[k])}
         repeated = float(1 - distinct[k] / total_runs[k]) if total_runs[k] else 0.0
         share = s["prose"] / s["size"]
-        reasons = ["little_prose"] * (share < PROSE_SHARE) + ["repeated"] * (repeated >= REPEATED_SHARE)
-        if reasons:
-            few = (("few_common_words", s["common"] < 0.05 * s["words"]), ("symbols", s["symbols"] > 0.3 * s["size"]), ("digits", s["digits"] > 0.2 * s["size"]), ("bullets", s["lines"] > 1 and s["bullets"] > 0.9 * s["lines"]), ("few_line_ends", s["ended"] < 0.2 * s["lines"]))
-            reasons += [name for name, failed in few if failed]
-        rows.append((size, int(words[k]), s["latin_letters"] / s["latin_words"] if s["latin_words"] else None, s["symbols"] / s["size"], s["digits"] / s["size"], int(s["lines"]), s["ended"] / s["lines"], s["bullets"] / s["lines"], s["common"] / s["words"] if s["words"] else 0.0, share, repeated, reasons))
+        length = s["latin_letters"] / s["latin_words"] if s["latin_words"] else None
+        failed = (
+            s["lines"] > 1 and s["ended"] < LEAST_LINE_ENDS * s["lines"], s["lines"] > 1 and s["bullets"] > MOST_BULLETS * s["lines"], s["symbols"] > MOST_SYMBOLS * s["size"], s["digits"] > MOST_DIGITS * s["size"],
+            s["common"] < LEAST_COMMON * s["words"] or not s["words"], repeated > MOST_REPEATED, share < PROSE_SHARE, s["words"] < LEAST_WORDS,
+            2 * s["latin_words"] > s["words"] and not WORD_LENGTHS[0] <= length <= WORD_LENGTHS[1],
+        )
+        reasons = [name for name, fails in zip(RULES, failed, strict=True) if fails]
+        rows.append((size, int(words[k]), length, s["symbols"] / s["size"], s["digits"] / s["size"], int(s["lines"]), s["ended"] / s["lines"], s["bullets"] / s["lines"], s["common"] / s["words"] if s["words"] else 0.0, share, repeated, reasons))
     return rows
 
 
@@ -197,5 +210,6 @@ def described(docs: DataFrame, common_words: DataFrame, max_words: int = 100_000
 
 
 def found(docs: DataFrame, common_words: DataFrame) -> DataFrame:
-    """Documents that are for the most part lists, tables or junk."""
-    return described(docs, common_words).where(F.size("reasons") > 0).select("doc_id").distinct()
+    """Documents that are for the most part lists, tables or junk: those that fail a decisive rule."""
+    decides = F.arrays_overlap("reasons", F.array(*[F.lit(x) for x in DECISIVE]))
+    return described(docs, common_words).where(decides).select("doc_id").distinct()
