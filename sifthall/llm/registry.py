@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines its site repeats: (id, body_text)."""
     docs = table(spark, sf_dir, "policy_documents").select("id", "source_site", "body_text", "first_seen_at")
-    return site_lines.without_lines(docs, site_lines.found(docs)).select("id", "body_text")
+    return site_lines.cleaned(docs, site_lines.state_of(docs))
 
 
 @query

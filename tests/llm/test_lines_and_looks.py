@@ -95,3 +95,16 @@ def test_canonical_is_the_most_frequent(spark):
 def test_very_long_value(spark):
     docs = spark.createDataFrame([(1, "Ａ" * 500_000), (2, "A" * 500_000)], "id bigint, title string")
     assert K.found(docs, ["title"]).count() == 1
+
+
+def test_a_state_is_opened_again(spark, tmp_path):
+    """Saved after each delta and loaded by its folder: as one pass, and cleaned texts by both ways."""
+    folder = f"file://{tmp_path}/lines"
+    docs = docs_of(spark, ["页眉\n甲%d\n页脚" % i for i in range(8)] + ["别的\n页脚", None, ""])
+    assert L.load(spark, folder) is None
+    for part in (docs.where("id < 5"), docs.where("id >= 5")):
+        L.save(L.merge(L.load(spark, folder), part, folder=folder), folder)
+    state = L.load(spark, folder)
+    assert {tuple(r) for r in L.repeated_places(state).collect()} == by_hand([(r.id, r.source_site, r.body_text) for r in docs.collect()])
+    clean = {r.id: r.body_text for r in L.cleaned(docs, state).collect()}
+    assert clean == {r.id: r.body_text for r in L.without_lines(docs, state.dropped).collect()} and clean[0] == "" and clean[8] == "别的" and clean[9] is None
