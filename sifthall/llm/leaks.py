@@ -4,11 +4,15 @@ Both sides become a stream of letters and digits (case, width and everything els
 stream: a run of digits is one number symbol, a unit ideograph after it one unit symbol, a name one name symbol
 (Latin names from the items' own capitalised words, ideographic names by the place or body suffix they precede).
 Windows of template symbols are hash-joined. For each pair of document and item that shares a window, slots are
-checked against the raw streams: a run of at least ``least`` raw characters is a leak; template matches without one,
-whose slots differ, are re-parameterised items.
+checked for consistency: a window that both have is consistent if each of its slots holds the same number, unit or name in both.
+Pairs with a consistent window are held against each other character by character, and a run of at least ``least`` raw
+characters is a leak; template matches without one, whose slots differ, are re-parameterised items.
+
+Items are the stated query set. They are taken in blocks of ``BLOCK_ITEMS``, each held against all documents, so that what a
+task holds of them is bounded however many there are.
 
 No leak is lost: every raw run of ``least`` characters holds a whole window that does not depend on what surrounds
-the run; runs of an item for which that cannot be shown (made of little but numbers and names) are also joined by the
+the run, and which is consistent; runs of an item for which that cannot be shown (made of little but numbers and names) are also joined by the
 hash of the raw run itself.
 
 Edge cases: null, empty and very long texts are fine (whole texts are read, one at a time if long); repeated rows
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -27,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifthall.llm.chars import SLOW, chunks, codes, fold_table, windows
+from sifthall.llm.chars import SLOW, chunks, codes, fold_table, prefix_sums, span_hashes, windows
 from sifthall.plans.stage import stage
 
 BETWEEN, NUMBER, UNIT, NAME = 0xF0000, 0xF0001, 0xF0002, 0xF0003
 UNITS = "年月日时分秒天周岁元角万亿个份次处人名户项条家枚行台件座米吨里亩度号层股届期页"
 SUFFIXES = "省市区县镇乡村路街巷弄里坊浜苑桥河江湖山局院校社会组队所馆站厂仓闸口"
 WIDTH, LEAST = 20, 60
-#: Bits of the filter of item windows that documents are held against before the join: a fixed size, however many items.
-FILTER_BITS = 22
+#: Bits of the filter of a block's item windows that documents are held against before the join, and the items of a block: some
+#: three million windows fill a twentieth of the filter.
+FILTER_BITS, BLOCK_ITEMS = 26, 10_000
 
 
 def stream(text: str | None) -> np.ndarray:
@@ -142,14 +148,23 @@ def _item_windows(item_ids: list[int], texts: list[str], automaton, longest: int
     return sorted(rows), dense
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.int64(7)) & np.int64((1 << FILTER_BITS) - 1)
+def _filter(hashes: np.ndarray) -> np.ndarray:
+    """A filter of hashes, eight places a byte."""
+    at = (hashes >> np.int64(7)) & np.int64((1 << FILTER_BITS) - 1)
+    packed = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    np.bitwise_or.at(packed, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    return packed
+
+
+def _passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.int64(7)) & np.int64((1 << FILTER_BITS) - 1)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _window_hits(names: list[str], packed: bytes, raw_too: bool, width: int, least: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(names)
-        bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).astype(bool)
+        bits = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, texts in chunks(batch.column(1)):
@@ -157,7 +172,7 @@ def _window_hits(names: list[str], packed: bytes, raw_too: bool, width: int, lea
                 symbols, _ = template(raw, automaton)
                 for kind, stream_, span in ((0, symbols, width), *([(1, raw, least)] if raw_too else [])):
                     h = windows(stream_, span)
-                    hit = np.flatnonzero(bits[_bits(h)])
+                    hit = np.flatnonzero(_passes(bits, h))
                     owner = at + np.searchsorted(np.flatnonzero(stream_ == BETWEEN), hit)
                     pairs = np.unique(np.stack([ids[owner], h[hit]]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(np.full(pairs.shape[1], kind, dtype=np.int32)), pa.array(pairs[1])], names=["doc_id", "kind", "hash"])
@@ -177,28 +192,35 @@ def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
     return low
 
 
-def slots_agree(raw_a: np.ndarray, raw_b: np.ndarray, automaton, width: int, least_covered: float) -> tuple[float, int, int]:
-    """(share of b's template windows that a has, slots in them, slots that hold the same number, unit or name in both).
-    Below ``least_covered`` the slots are not looked at."""
+def slots_agree(raw_a: np.ndarray, raw_b: np.ndarray, automaton, width: int) -> tuple[float, int, int, int]:
+    """(share of b's template windows that a has, slots in them, slots that hold the same number, unit or name in both, windows
+    of which all slots do)."""
     ta, pa_ = template(raw_a, automaton)
     tb, pb = template(raw_b, automaton)
     wa, wb = windows(ta, width), windows(tb, width)
     if not len(wa) or not len(wb):
-        return 0.0, 0, 0
-    covered = float(np.isin(wb, wa).mean())
-    if covered < least_covered:
-        return covered, 0, 0
-    _, ia, ib = np.intersect1d(wa, wb, return_indices=True)
-    ea, eb = np.append(pa_, len(raw_a)), np.append(pb, len(raw_b))
-    seen: dict[int, bool] = {}
-    for i, j in zip(ia, ib, strict=True):
-        for k in np.flatnonzero(ta[i : i + width] >= NUMBER):
-            x, y = int(i + k), int(j + k)
-            seen[y] = np.array_equal(raw_a[ea[x] : ea[x + 1]], raw_b[eb[y] : eb[y + 1]])
-    return covered, len(seen), sum(seen.values())
-
-
-def _verify(texts: dict[int, str], names: list[str], width: int, least: int, least_covered: float | None) -> Callable:
+        return 0.0, 0, 0, 0
+    # each of b's windows against each place of a that has it: a's in order, so that equal ones are neighbours
+    order = np.argsort(wa, kind="stable")
+    low, high = np.searchsorted(wa[order], wb, side="left"), np.searchsorted(wa[order], wb, side="right")
+    n = high - low
+    if not n.any():
+        return 0.0, 0, 0, 0
+    ib = np.repeat(np.arange(len(wb)), n)
+    ia = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    held_a, held_b = (span_hashes(prefix_sums(raw), at, np.append(at[1:], len(raw))) for raw, at in ((raw_a, pa_), (raw_b, pb)))
+    seen, same, whole = np.zeros(len(tb), dtype=bool), np.zeros(len(tb), dtype=bool), np.ones(len(ia), dtype=bool)
+    for k in range(width):
+        x, y = ia + k, ib + k
+        slot = tb[y] >= NUMBER
+        equal = held_a[x] == held_b[y]
+        whole &= equal | ~slot
+        seen[y[slot]] = True
+        same[y[slot & equal]] = True
+    return float((n > 0).mean()), int(seen.sum()), int(same.sum()), int(whole.sum())
+
+
+def _verify(texts: dict[int, str], names: list[str], width: int, least: int, dense: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(names)
         items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -206,23 +228,26 @@ def _verify(texts: dict[int, str], names: list[str], width: int, least: int, lea
             out = []
             for doc_id, text, item_ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 a = stream(text)
-                runs = np.sort(windows(a, least))
+                runs = None
                 for item_id in item_ids:
                     if item_id not in items:
                         items[item_id] = (b := stream(texts[item_id]), windows(b, least))
                     b, own = items[item_id]
-                    shared = len(runs) and len(own) and (runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own).any()
-                    slots = slots_agree(a, b, automaton, width, least_covered) if least_covered is not None and not shared else (0.0, 0, 0)
-                    out.append((doc_id, item_id, longest_run(a, b, least) if shared else 0, *slots))
+                    covered, slots, same, consistent = slots_agree(a, b, automaton, width)
+                    shared = False
+                    if (consistent or dense) and len(own):
+                        runs = np.sort(windows(a, least)) if runs is None else runs
+                        shared = len(runs) > 0 and bool((runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own).any())
+                    out.append((doc_id, item_id, longest_run(a, b, least) if shared else 0, covered, slots, same))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((),) * 6, kinds, strict=True)], names=["doc_id", "item_id", "run_length", "covered", "slots", "slots_same"])
 
     return run
 
 
-def candidates(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, max_items: int = 100_000) -> tuple[DataFrame, dict[int, str], list[str]]:
-    """(doc_id, item_ids) that share a template window, the items' texts and the names used. ``items`` is the stated query set: it is
-    read to the driver behind a check of its size, and larger sets must be given in blocks."""
+def candidates(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, max_items: int = BLOCK_ITEMS) -> tuple[DataFrame, dict[int, str], list[str], bool]:
+    """(doc_id, item_ids) that share a template window, the items' texts and the names used, and whether some are joined by raw
+    runs. ``items`` is a block of the stated query set: it is read to the driver behind a check of its size."""
     spark = docs.sparkSession
     held = items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").where("item_text <> ''").limit(max_items + 1).collect()
     if len(held) > max_items:
@@ -230,22 +255,25 @@ def candidates(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least:
     names = names_of([r.item_text for r in held])
     rows, dense = _item_windows([r.item_id for r in held], [r.item_text for r in held], _automaton(names), max(map(len, names), default=3), width, least)
     keys = spark.createDataFrame(rows or [], "kind int, hash bigint, item_id bigint")
-    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-    bits[_bits(np.array([r[1] for r in rows], dtype=np.int64))] = True
-    packed = np.packbits(bits).tobytes()
+    packed = zlib.compress(_filter(np.array([r[1] for r in rows], dtype=np.int64)).tobytes(), 1)
     hits = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text <> ''").mapInArrow(_window_hits(names, packed, dense > 0, width, least), "doc_id bigint, kind int, hash bigint")
-    return hits.join(keys, ["kind", "hash"]).groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")), {r.item_id: r.item_text for r in held}, names
+    return hits.join(keys, ["kind", "hash"]).groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")), {r.item_id: r.item_text for r in held}, names, dense > 0
 
 
-def compare(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, least_covered: float | None = None) -> DataFrame:
+def compare(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, run_length, covered, slots, slots_same) of each pair that shares a template window; run_length
-    is 0 if the longest common raw run is shorter than ``least``. Slots are compared then, if ``least_covered`` is given
-    and at least that share of the item's template stands in the document."""
-    pairs, held, names = candidates(docs, items, width=width, least=least)
-    pairs = stage(pairs, "leak-pairs")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
-    both = texts.join(pairs, "doc_id").select("doc_id", "text", "item_ids")
-    return both.mapInArrow(_verify(held, names, width, least, least_covered), "doc_id bigint, item_id bigint, run_length bigint, covered double, slots bigint, slots_same bigint").distinct()
+    is 0 if the longest common raw run is shorter than ``least``."""
+    blocks = -(-2 * items.count() // block_items) or 1  # half full on average, so that none is too full
+    out: DataFrame | None = None
+    for block in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(F.col("item_id").cast("bigint")), F.lit(blocks)) == block)
+        pairs, held, names, dense = candidates(docs, part, width=width, least=least, max_items=max(block_items, 1))
+        pairs = stage(pairs, "leak-pairs")
+        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
+        both = texts.join(pairs, "doc_id").select("doc_id", "text", "item_ids")
+        met = both.mapInArrow(_verify(held, names, width, least, dense), "doc_id bigint, item_id bigint, run_length bigint, covered double, slots bigint, slots_same bigint").distinct()
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -255,5 +283,5 @@ def found(docs: DataFrame, items: DataFrame) -> DataFrame:
 def reparameterised(docs: DataFrame, items: DataFrame, *, least_covered: float = 0.8, least_slots: int = 1) -> DataFrame:
     """Documents that hold at least ``least_covered`` of an item's template, but with other numbers or names in its slots:
     (doc_id, item_id, slots, slots_same)."""
-    pairs = compare(docs, items, least_covered=least_covered)
+    pairs = compare(docs, items)
     return pairs.where((F.col("run_length") == 0) & (F.col("covered") >= least_covered) & (F.col("slots") >= least_slots) & (F.col("slots_same") < F.col("slots"))).select("doc_id", "item_id", "slots", "slots_same")
