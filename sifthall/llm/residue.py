@@ -12,8 +12,8 @@ site's additions. A unit's shape is its text in lower case, numbers as 0, withou
 3. Pairs that no table brings together are found by pieces that the similarity leaves unchanged, so that the links are
    complete.
 4. Labels spread from the examples outward over these links until nothing is added: the connected components that hold a
-   trusted unit. Each round reads the texts again and looks only at units whose characters a labelled one can have; what it
-   needs to know of the labelled ones for that is of fixed size.
+   trusted unit. Only units are looked at whose characters labelled ones can have; the texts are read again when those get
+   new ones. What a round needs to know of the labelled ones for that is of fixed size.
 
 A sentence of real text that speaks of such things is no near-duplicate of an example as a whole, and is not marked.
 
@@ -362,15 +362,18 @@ def labelled(docs: DataFrame, links: DataFrame, trusted: DataFrame | None = None
     """(record_table, record_id, path, round) of records that are or hold residue, with what marked them: ``syntax``, or the
     path (``tables`` or ``pieces``) and round of the first link to one of their units."""
     read: list[DataFrame] = []
+    covered = np.zeros(SIZE, dtype=bool)
 
     def likely(letters: np.ndarray) -> DataFrame:
-        rows = [read_units(docs, "policy_documents", "body_text", letters, syntax=not read), read_units(links, "link_checks", "page_title", letters, title=True, syntax=not read)]
-        read.append(stage(rows[0].unionByName(rows[1]), "residue-read"))
+        if not read or (letters & ~covered).any():  # else what was read last has all that these letters can make
+            covered[letters] = True
+            rows = [read_units(docs, "policy_documents", "body_text", covered.copy(), syntax=not read), read_units(links, "link_checks", "page_title", covered.copy(), title=True, syntax=not read)]
+            read.append(stage(rows[0].unionByName(rows[1]), "residue-read"))
         return read[-1].where("unit IS NOT NULL").select("unit")
 
     units = propagate(likely, seeds(docs.sparkSession) if trusted is None else trusted)
-    rows = _union(read)
-    met = rows.where("unit IS NOT NULL").distinct().join(broadcast_if_small(units, BROADCAST_UNITS), "unit")
+    rows = read[0]
+    met = read[-1].where("unit IS NOT NULL").distinct().join(broadcast_if_small(units, BROADCAST_UNITS), "unit")
     by_links = met.groupBy("record_table", "record_id").agg(F.min(F.struct("round", "path")).alias("m")).select("record_table", "record_id", "m.path", "m.round")
     return rows.where("unit IS NULL").select("record_table", "record_id", F.lit("syntax").alias("path"), F.lit(0).alias("round")).distinct().unionByName(by_links)
 

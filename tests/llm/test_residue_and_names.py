@@ -88,6 +88,12 @@ def test_every_unit_of_the_similarity_is_reached(spark):
     assert got == label and len(others) > len(label) - len(seeds) > 100
 
 
+def test_most_rows_come_by_links(spark, data):
+    """On driver tables, by path: likeness marks more records than syntax, tables nearly all of them."""
+    paths = {r.path: r["count"] for r in R.labelled(*(spark.read.parquet(f"{data}/{t}.parquet") for t in ("policy_documents", "link_checks"))).groupBy("path").count().collect()}
+    assert paths["tables"] > paths["syntax"] > 0 and paths.get("pieces", 0) <= 0.02 * paths["tables"]
+
+
 def test_simhash_is_close_for_close_texts():
     a, b, c = (R.simhash(x) for x in ("the upstream service did not reply to this page", "the upstream service did not reply to that page", "关于印发实施方案的通知及附件说明"))
     assert bin(a ^ b).count("1") < bin(a ^ c).count("1")
