@@ -20,6 +20,14 @@ def calendar(spark: SparkSession, first: date, last: date, overrides: DataFrame
     return days.withColumn("n_workdays", F.sum(F.col("is_workday").cast("bigint")).over(Window.orderBy("day")))
 
 
+def calendar_of(df: DataFrame, *columns: str, overrides: DataFrame | None = None) -> DataFrame:
+    """A calendar from the least to the greatest of the dates of ``columns``; of one day if there is none. Dates have few
+    thousand days between them, and no more than the type allows, which is less than four million."""
+    ends = df.agg(*[F.min(c).alias(f"low_{c}") for c in columns], *[F.max(c).alias(f"high_{c}") for c in columns]).first()
+    known = [d for d in ends if d is not None] or [date(2000, 1, 1)]
+    return calendar(df.sparkSession, min(known), max(known), overrides)
+
+
 def with_gap(df: DataFrame, start: str, end: str, days: DataFrame, name: str = "workday_gap") -> DataFrame:
     """``df`` with the workdays in (start, end]: 0 if the end is not later, null if a date is null.
 

@@ -57,6 +57,80 @@ def date_issues(findings: DataFrame, docs: DataFrame, days: DataFrame) -> DataFr
     return gaps.withColumn("label", W.timeliness(F.col("workday_gap"), F.col("authored_date"), F.col("published_date")))
 
 
+# What the report calls the outcomes of checks.
+OUTCOMES = {
+    "checked_complete": "表头完整，已检查", "checked_incomplete": "表头不完整，已记录问题", "no_header": "无表头 PASS", "no_header_pass": "无表头 PASS", "reused_baseline_detail": "基线复用（有表头）", "reused_baseline_no_header": "基线复用（无表头 PASS）",
+    "reused_current_detail": "当期 URL 复用（有表头）", "reused_current_no_header": "当期 URL 复用（无表头 PASS）", "exception": "详情异常，待复测",
+}
+COVERED = {"complete": "完整"}
+
+
+def _of_finding(findings: DataFrame, docs: DataFrame) -> DataFrame:
+    d = docs.select(F.col("id").alias("document_id"), "district", "source_id", or_platform("source_site").alias("source"), "title", "url", "issuing_agency", "page_document_number", "published_date", "authored_date")
+    return findings.join(d, "document_id")
+
+
+def sheet_dates(findings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Findings on dates with the workdays that their text states."""
+    rows = _of_finding(findings.where("category = '日期问题'"), docs)
+    return rows.select("id", "source", "district", "title", "authored_date", "published_date", W.stated_gap(F.col("detail")).cast("bigint").alias("workdays"), F.when(F.col("rule_code") == "DATE-002", "日期倒置").otherwise("超期").alias("time_state"), "page_document_number", "rule_code", "detail", "review_status", "url")
+
+
+def sheet_numbers(findings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Findings on numbers and bodies, the number in its parts."""
+    rows = _of_finding(findings.where(F.col("category").isin("文号问题", "机构问题")), docs).withColumn("number", T.document_number(F.col("page_document_number")))
+    p = T.document_number_parts(F.col("number"))
+    return rows.select("id", "source", "district", "title", p["prefix"].alias("number_type"), p["year"].alias("number_year"), p["index"].alias("number_index"), "number", "issuing_agency", "body_value", "rule_code", "detail", "evidence", "review_status")
+
+
+def sheet_links(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed problems of links, with where they stand and where they led."""
+    d = docs.select(F.col("id").alias("document_id"), or_platform("source_site").alias("source"), "district", "title", F.col("url").alias("document_url"))
+    kept = links.where(R.visible_evidence() & (F.col("review_status") == "confirmed") & F.col("result").isin("broken", "error"))
+    return kept.join(d, "document_id").select("id", "source", "district", "title", "link_kind", "source_area", "link_text", "source_page_url", "original_url", "final_url", "status_code", "result", "error_type", F.array_join("redirect_chain", " ").alias("chain"), "page_title", "document_url")
+
+
+def sheet_detail(items: DataFrame, findings: DataFrame, days: DataFrame) -> DataFrame:
+    """Every entry in all columns of the report: place from 1, state of the header, workdays, parts of the number, findings, outcome."""
+    own = R.ordered_concat(findings, ["job_id", "document_id"], "id", {"codes": ("rule_code", "、"), "details": ("detail", "；")}, "n_findings").withColumnRenamed("document_id", "effective_id")
+    rows = W.with_gap(items.withColumn("effective_id", R.effective_document()), "authored_date", "published_date", days).join(own, ["job_id", "effective_id"], "left").withColumn("number", T.document_number(F.col("page_document_number")))
+    p = T.document_number_parts(F.col("number"))
+    return rows.select(
+        "id", "source_label", "channel_id", "page_number", (F.col("item_index") + 1).alias("place"), "listed_date", "title", header_state().alias("header_state"), "source_id", "topic_category", "disclosure_attribute", "authored_date", "page_document_number",
+        "published_date", "issuing_agency", F.array_join("missing_fields", "、").alias("missing"), F.col("workday_gap").alias("workdays"), W.timeliness(F.col("workday_gap"), F.col("authored_date"), F.col("published_date")).alias("time_state"),
+        p["prefix"].alias("number_type"), p["year"].alias("number_year"), p["index"].alias("number_index"), "number", F.coalesce("codes", F.lit("")).alias("codes"), F.coalesce("details", F.lit("")).alias("details"), F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
+        T.decoded(F.col("detail_status"), OUTCOMES).alias("outcome"), "baseline_job_id", "reason", "url",
+    )
+
+
+def sheet_metadata(items: DataFrame) -> DataFrame:
+    """One row per job and address with missing fields: incomplete checks before others, then the first in the report's order."""
+    rows = items.where(F.size("missing_fields") > 0)
+    first = [F.when(F.col("detail_status") == "checked_incomplete", 2).otherwise(1)]
+    place = F.struct(F.coalesce("source_label", F.lit("")).alias("s"), F.coalesce("page_number", F.lit(0)).alias("p"), F.coalesce("item_index", F.lit(0)).alias("i"), "id")
+    kept = rows.select("job_id", "url", first[0].alias("priority"), place.alias("place"), F.struct("source_label", "channel_id", "title", "source_id", F.array_join("missing_fields", "、").alias("missing"), "detail_status", "reason").alias("row"))
+    best = kept.groupBy("job_id", "url").agg(F.min_by("row", F.struct(-F.col("priority"), "place")).alias("row"))
+    return best.select("job_id", "url", "row.*")
+
+
+def sheet_runs(jobs: DataFrame, progress: DataFrame, findings: DataFrame) -> DataFrame:
+    """Each job in a row of its own, and what happened in it below: columns that do not concern a row are null."""
+    covered = F.coalesce(F.create_map(*[F.lit(x) for pair in COVERED.items() for x in pair])[F.col("coverage_status")], F.lit("未完成"))
+    own = jobs.join(progress.select("id", "examined", "total", "remaining"), "id", "left")
+    rows = own.select(F.col("id").alias("job_id"), F.lit("job").alias("kind"), "mode", "status", covered.alias("coverage"), "examined", "total", "remaining", "access_count", F.coalesce(F.nullif("pause_reason", F.lit("")), "last_error").alias("message"))
+    events = findings.select("job_id", F.col("rule_code").alias("kind"), F.col("detail").alias("message"), F.col("id").alias("event_id")).join(jobs.select(F.col("id").alias("job_id"), "mode", "status", covered.alias("coverage")), "job_id")
+    return rows.unionByName(events, allowMissingColumns=True)
+
+
+def sheet_summary(items: DataFrame, headers: DataFrame, findings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each source with its kinds of findings in order, how much of it is covered and what remains."""
+    labels = items.where("source_label IS NOT NULL").groupBy("job_id", "target_key").agg(F.min("source_label").alias("source"))
+    covered = headers.join(labels, ["job_id", "target_key"]).groupBy("source").agg(F.sum("terminal").alias("examined"), F.sum(F.greatest("observed", "discovered")).alias("total"))
+    listed = R.findings_of_items(items, findings).groupBy(F.col("source_label").alias("source"), "category").agg(F.count(F.lit(1)).alias("n"))
+    joined = covered.join(listed, "source", "left")
+    return joined.select("source", F.coalesce("category", F.lit(NO_ISSUE)).alias("category"), F.coalesce("n", F.lit(0)).alias("n"), "examined", "total", F.greatest(F.col("total") - F.col("examined"), F.lit(0)).alias("remaining")).orderBy("source", "category")
+
+
 def run_record(jobs: DataFrame, findings: DataFrame) -> DataFrame:
     """Jobs and the events under them in one list: columns that one side lacks are null."""
     j = jobs.select(F.col("id").alias("job_id"), F.lit("job").alias("kind"), F.col("status").alias("message"), F.col("pause_reason").alias("reason"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sifthall.functions import text as T
@@ -45,7 +45,8 @@ def query(*tables: str, sql: str | None = None) -> Callable:
 
 
 def days(df: DataFrame) -> DataFrame:
-    return W.calendar(df.sparkSession, date(2015, 1, 1), date(2030, 12, 31))
+    """A calendar from the least to the greatest date of ``df``."""
+    return W.calendar_of(df, "authored_date", "published_date")
 
 
 def big(df: DataFrame) -> DataFrame:
@@ -110,21 +111,57 @@ def workday_gap(docs: DataFrame) -> DataFrame:
     return gaps.select("id", "workday_gap", W.timeliness(F.col("workday_gap"), F.col("authored_date"), F.col("published_date")).alias("label"))
 
 
-@query("policy_documents")
+_DATE_LINE = "^(?:((?:19|20)[0-9]{2})[ \\t\\n\\f\\r]*[年./-][ \\t\\n\\f\\r]*([0-9]{1,2})[ \\t\\n\\f\\r]*[月./-][ \\t\\n\\f\\r]*([0-9]{1,2})[ \\t\\n\\f\\r]*日?)$"
+_WHOLE = f"TRY_CAST(regexp_extract(lines[i], '{_DATE_LINE}', 1) || '-' || regexp_extract(lines[i], '{_DATE_LINE}', 2) || '-' || regexp_extract(lines[i], '{_DATE_LINE}', 3) AS DATE)"
+_BLOCK = "list_reverse(lines[greatest(i - 6, 1) : i - 1])"
+_FROM = f"({_BLOCK})[coalesce(list_position(list_transform({_BLOCK}, lambda x: x <> ''), TRUE), 100) :]"
+_SIGNED = f"array_to_string(CASE WHEN coalesce(list_position({_FROM}, ''), 0) > 0 THEN ({_FROM})[1 : list_position({_FROM}, '') - 1] ELSE {_FROM} END, ' ')"
+
+
+@query("policy_documents", sql=rf"""
+WITH l AS (SELECT id, coalesce(issuing_agency, '') AS agency, list_transform(regexp_split_to_array(coalesce(body_text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')) AS lines FROM policy_documents)
+SELECT id, (list_filter(list_transform(range(1, len(lines) + 1), lambda i: CASE WHEN regexp_matches(lines[i], '{_DATE_LINE}') AND NOT regexp_matches(array_to_string(lines[greatest(i - 2, 1) : i], ' '), '{"|".join(T.NOT_A_SIGNATURE)}')
+  AND ((agency <> '' AND contains({_SIGNED}, agency)) OR regexp_matches({_SIGNED}, '{"|".join(T.SIGNING_BODIES)}')) AND {_WHOLE} BETWEEN DATE '1990-01-01' AND DATE '{AS_OF}' + 366 THEN {_WHOLE} END), lambda d: d IS NOT NULL))[1] AS signed FROM l""")
 def signature_date(docs: DataFrame) -> DataFrame:
     return docs.select("id", T.signature_date(F.col("body_text"), F.col("issuing_agency"), AS_OF).alias("signed"))
 
 
-@query("policy_documents")
+@query("policy_documents", sql=rf"SELECT id, regexp_replace(regexp_extract(body_text, '来源{_SPACE}*[:：]?{_SPACE}*([^\n]+)', 1), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS source_line FROM policy_documents")
 def labelled_value(docs: DataFrame) -> DataFrame:
-    """Without SQL: white space differs between the engines' patterns."""
     return docs.select("id", T.labelled_value(F.col("body_text"), "来源").alias("source_line"))
 
 
-@query("document_snapshots", sql="SELECT id, json_extract_string(raw_json, '$.title') AS title, TRY_CAST(json_extract_string(raw_json, '$.published_date') AS DATE) AS published, CAST(json_array_length(raw_json, '$.body_document_numbers') AS BIGINT) AS n_numbers FROM document_snapshots")
+_STRIPPED = "regexp_replace({x}, '^" + _SPACE + "+|" + _SPACE + "+$', '', 'g')"
+_HEADER = [_STRIPPED.replace("{x}", rf"regexp_extract(coalesce(body_text, ''), '(?m)^[ \t]*{x}[ \t]*[:：][ \t]*([^\n\r\x{{85}}\x{{2028}}\x{{2029}}]*)', 1)") + f" AS v{i}" for i, x in enumerate(("来源", "责任编辑", "浏览次数"))]
+
+
+@query("policy_documents", sql=rf"""
+WITH v AS (SELECT id, {", ".join(_HEADER)}, coalesce(regexp_matches(body_text, '(?:来源|责任编辑|浏览次数)[ \t]*[:：]'), FALSE) AS has_header FROM policy_documents)
+SELECT id, v0 AS origin, has_header, concat_ws('、', CASE WHEN v0 = '' THEN '来源' END, CASE WHEN v1 = '' THEN '责任编辑' END, CASE WHEN v2 = '' THEN '浏览次数' END) AS missing FROM v""")
+def header_values(docs: DataFrame) -> DataFrame:
+    labels = ("来源", "责任编辑", "浏览次数")
+    values = {x: T.header_value(F.coalesce("body_text", F.lit("")), x) for x in labels}
+    return docs.select("id", values["来源"].alias("origin"), F.coalesce(T.has_header(F.col("body_text"), labels), F.lit(False)).alias("has_header"), F.array_join(T.missing_labels(values), "、").alias("missing"))
+
+
+@query("rule_findings", sql=r"""
+WITH d AS (SELECT id, page_value, regexp_extract(page_value, '(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}', 0) AS iso, regexp_extract(body_value, '((?:19|20)[0-9]{2})年([0-9]{1,2})月([0-9]{1,2})日', 1) || '-' || regexp_extract(body_value, '((?:19|20)[0-9]{2})年([0-9]{1,2})月([0-9]{1,2})日', 2) || '-' || regexp_extract(body_value, '((?:19|20)[0-9]{2})年([0-9]{1,2})月([0-9]{1,2})日', 3) AS long FROM rule_findings)
+SELECT id, CASE WHEN length(iso) = 10 THEN TRY_CAST(iso AS DATE) END AS page_date, CASE WHEN length(iso) = 10 AND TRY_CAST(iso AS DATE) IS NOT NULL THEN CAST(TRY_CAST(iso AS DATE) AS VARCHAR) ELSE page_value END AS shown FROM d""")
+def dates_read(findings: DataFrame) -> DataFrame:
+    """The date of a value, and the value as it is shown: its date, or as it stands where it has none."""
+    d = T.iso_date(F.col("page_value"))
+    return findings.select("id", d.alias("page_date"), F.coalesce(d.cast("string"), "page_value").alias("shown"))
+
+
+_RECORD = ("district", "title", "url", "source_id", "issuing_agency", "page_document_number", "body_text", "source_site", "topic_category", "disclosure_attribute")
+
+
+@query("document_snapshots", sql=f"""SELECT id, {", ".join(f"json_extract_string(raw_json, '$.{k}') AS {k}" for k in _RECORD)}, TRY_CAST(json_extract_string(raw_json, '$.published_date') AS DATE) AS published, TRY_CAST(json_extract_string(raw_json, '$.authored_date') AS DATE) AS authored, CAST(json_extract(raw_json, '$.header_detected') AS BOOLEAN) AS header_detected,
+coalesce(array_to_string(CAST(json_extract_string(raw_json, '$.body_document_numbers[*]') AS VARCHAR[]), '、'), '') AS numbers, coalesce(array_to_string(CAST(json_extract_string(raw_json, '$.missing_metadata_fields[*]') AS VARCHAR[]), '、'), '') AS missing FROM document_snapshots""")
 def json_records(records: DataFrame) -> DataFrame:
-    r = F.from_json("raw_json", "title string, published_date string, body_document_numbers array<string>")
-    return records.select("id", r["title"].alias("title"), T.iso_date(r["published_date"]).alias("published"), F.size(r["body_document_numbers"]).cast("bigint").alias("n_numbers"))
+    r = F.from_json("raw_json", ", ".join(f"{k} string" for k in _RECORD) + ", published_date string, authored_date string, header_detected boolean, body_document_numbers array<string>, missing_metadata_fields array<string>")
+    joined = lambda c: F.coalesce(F.array_join(r[c], "、"), F.lit(""))
+    return records.select("id", *[r[k].alias(k) for k in _RECORD], T.iso_date(r["published_date"]).alias("published"), T.iso_date(r["authored_date"]).alias("authored"), r["header_detected"].alias("header_detected"), joined("body_document_numbers").alias("numbers"), joined("missing_metadata_fields").alias("missing"))
 
 
 @query("events", sql="SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -132,10 +169,12 @@ def json_props(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("scan_item_results", sql=rf"SELECT id, sha256(regexp_replace(coalesce(title, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') || '|' || coalesce(CAST(listed_date AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || '1') AS fingerprint, target_key || '|id:' || source_id AS stable_id FROM scan_item_results WHERE source_id <> ''")
+_TITLE, _URL, _OWN_ID = (_STRIPPED.replace("{x}", f"coalesce({x}, '')") for x in ("title", "url", "source_id"))
+
+
+@query("scan_item_results", sql=f"SELECT id, sha256({_TITLE} || '|' || coalesce(CAST(listed_date AS VARCHAR), '') || '|' || {_URL} || '|' || '1') AS fingerprint, CASE WHEN {_OWN_ID} <> '' THEN target_key || '|id:' || {_OWN_ID} WHEN {_URL} <> '' THEN target_key || '|url:' || {_URL} END AS stable_id FROM scan_item_results")
 def fingerprints(items: DataFrame) -> DataFrame:
-    rows = items.where("source_id <> ''")
-    return rows.select("id", T.fingerprint(F.col("title"), F.col("listed_date"), F.col("url"), F.lit("1")).alias("fingerprint"), T.stable_identity(F.col("target_key"), F.col("source_id"), F.col("url")).alias("stable_id"))
+    return items.select("id", T.fingerprint(F.col("title"), F.col("listed_date"), F.col("url"), F.lit("1")).alias("fingerprint"), T.stable_identity(F.col("target_key"), F.col("source_id"), F.col("url")).alias("stable_id"))
 
 
 @query("link_checks", sql=r"""
@@ -217,9 +256,9 @@ def newest_baseline(jobs: DataFrame, items: DataFrame) -> DataFrame:
     return R.newest_baseline(jobs, items)
 
 
-@query("scan_item_results", "link_checks", sql="SELECT id, coalesce(nullif(document_id, 0), reused_document_id) IN (SELECT document_id FROM link_checks WHERE review_status = 'legacy_hidden' AND document_id IS NOT NULL) AS has_hidden FROM scan_item_results WHERE coalesce(nullif(document_id, 0), reused_document_id) IS NOT NULL")
+@query("scan_item_results", "link_checks", sql="SELECT id, coalesce(coalesce(nullif(document_id, 0), nullif(reused_document_id, 0)) IN (SELECT document_id FROM link_checks WHERE review_status = 'legacy_hidden' AND document_id IS NOT NULL), FALSE) AS has_hidden FROM scan_item_results")
 def legacy_mark(items: DataFrame, links: DataFrame) -> DataFrame:
-    rows = items.select("id", R.effective_document().alias("document_id")).where("document_id IS NOT NULL")
+    rows = items.select("id", R.effective_document().alias("document_id"))
     return R.mark(rows, links.where("review_status = 'legacy_hidden'"), "document_id", "has_hidden").select("id", "has_hidden")
 
 
@@ -294,9 +333,17 @@ def issue_summary(items: DataFrame, findings: DataFrame, docs: DataFrame) -> Dat
     return R.issue_summary(items, findings, docs)
 
 
-@query("scan_item_results", sql="SELECT job_id, url, id, detail_status FROM (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY CASE WHEN detail_status = 'checked_incomplete' THEN 2 ELSE 1 END DESC, coalesce(page_number, 0), coalesce(item_index, 0), id) AS n FROM scan_item_results WHERE len(missing_fields) > 0 OR detail_status = 'checked_incomplete') WHERE n = 1")
+_ROW = "* REPLACE (array_to_string(missing_fields, '、') AS missing_fields, epoch_us(checked_at) AS checked_at, CAST(page_number AS BIGINT) AS page_number, CAST(item_index AS BIGINT) AS item_index, CAST(link_check_version AS BIGINT) AS link_check_version)"
+
+
+def whole(items: DataFrame) -> DataFrame:
+    """Rows in types that two engines show alike."""
+    return big(items.withColumns({"missing_fields": F.array_join("missing_fields", "、"), "checked_at": F.unix_micros("checked_at")}))
+
+
+@query("scan_item_results", sql=f"SELECT {_ROW} FROM (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY CASE WHEN detail_status = 'checked_incomplete' THEN 2 ELSE 1 END DESC, coalesce(page_number, 0), coalesce(item_index, 0), id) AS n FROM scan_item_results WHERE len(missing_fields) > 0 OR detail_status = 'checked_incomplete') WHERE n = 1)")
 def metadata_argmax(items: DataFrame) -> DataFrame:
-    return R.metadata_issues(items, ["id", "detail_status"])
+    return whole(R.metadata_issues(items))
 
 
 @query("rule_findings", sql="SELECT job_id, document_id, string_agg(rule_code, '、' ORDER BY id, rule_code, detail) AS codes, string_agg(detail, '；' ORDER BY id, rule_code, detail) AS details FROM rule_findings GROUP BY 1, 2")
@@ -304,14 +351,14 @@ def codes_concat(findings: DataFrame) -> DataFrame:
     return R.ordered_concat(findings, ["job_id", "document_id"], "id", {"codes": ("rule_code", "、"), "details": ("detail", "；")})
 
 
-@query("scan_item_results", sql="SELECT job_id, target_key, url, id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, target_key, url ORDER BY checked_at DESC NULLS LAST, id DESC) AS n FROM scan_item_results) WHERE n = 1")
+@query("scan_item_results", sql=f"SELECT {_ROW} FROM (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY job_id, target_key, url ORDER BY checked_at DESC NULLS LAST, id DESC) AS n FROM scan_item_results) WHERE n = 1)")
 def latest_row(items: DataFrame) -> DataFrame:
-    return R.latest_rows(items, ["id"])
+    return whole(R.latest_rows(items))
 
 
-@query("scan_item_results", sql="SELECT job_id, url, id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY detail_status IN ('checked_complete', 'checked_incomplete', 'no_header') DESC, checked_at DESC NULLS LAST, id DESC) AS n FROM scan_item_results) WHERE n = 1")
+@query("scan_item_results", sql=f"SELECT {_ROW} FROM (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY job_id, url ORDER BY detail_status IN ('checked_complete', 'checked_incomplete', 'no_header') DESC, checked_at DESC NULLS LAST, id DESC) AS n FROM scan_item_results) WHERE n = 1)")
 def best_row(items: DataFrame) -> DataFrame:
-    return R.best_rows(items, ["checked_complete", "checked_incomplete", "no_header"], ["id"])
+    return whole(R.best_rows(items, ["checked_complete", "checked_incomplete", "no_header"]))
 
 
 @query("scan_item_results", sql="SELECT target_key, url, min(job_id) AS job_id FROM scan_item_results WHERE url IS NOT NULL GROUP BY 1, 2")
@@ -346,24 +393,26 @@ def resolved_names(docs: DataFrame, agencies: DataFrame) -> DataFrame:
 
 
 @query("scan_item_results", sql=rf"""
-WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, target_key, page_number, item_index ORDER BY id) AS n FROM scan_item_results WHERE page_number IS NOT NULL AND item_index IS NOT NULL AND target_key IS NOT NULL) WHERE n = 1), j AS (SELECT target_key, max(job_id) AS b FROM l GROUP BY 1), k AS (SELECT l.target_key, max(l.job_id) AS a FROM l JOIN j ON j.target_key = l.target_key AND l.job_id < j.b GROUP BY 1),
-a AS (SELECT l.* FROM l JOIN k ON k.target_key = l.target_key AND k.a = l.job_id), b AS (SELECT l.* FROM l JOIN j ON j.target_key = l.target_key AND j.b = l.job_id)
-SELECT coalesce(a.target_key, b.target_key) AS target_key, CAST(coalesce(a.page_number, b.page_number) AS BIGINT) AS page_number, CAST(coalesce(a.item_index, b.item_index) AS BIGINT) AS item_index, a.title AS left_value, b.title AS right_value FROM a FULL JOIN b ON a.target_key = b.target_key AND a.page_number = b.page_number AND a.item_index = b.item_index
+WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, target_key, page_number, item_index ORDER BY id) AS n FROM scan_item_results WHERE page_number IS NOT NULL AND item_index IS NOT NULL AND target_key IS NOT NULL) WHERE n = 1), j AS (SELECT target_key, job_id, lag(job_id) OVER w AS prev, lead(job_id) OVER w AS next FROM (SELECT DISTINCT target_key, job_id FROM l) WINDOW w AS (PARTITION BY target_key ORDER BY job_id)),
+a AS (SELECT l.*, next AS later FROM l JOIN j USING (target_key, job_id) WHERE next IS NOT NULL), b AS (SELECT l.* FROM l JOIN j USING (target_key, job_id) WHERE prev IS NOT NULL)
+SELECT coalesce(a.target_key, b.target_key) AS target_key, coalesce(a.later, b.job_id) AS job_id, CAST(coalesce(a.page_number, b.page_number) AS BIGINT) AS page_number, CAST(coalesce(a.item_index, b.item_index) AS BIGINT) AS item_index, a.title AS left_value, b.title AS right_value FROM a FULL JOIN b ON a.target_key = b.target_key AND a.later = b.job_id AND a.page_number = b.page_number AND a.item_index = b.item_index
 WHERE a.id IS NULL OR b.id IS NULL OR regexp_replace(a.title, '{_SPACE}+', '', 'g') IS DISTINCT FROM regexp_replace(b.title, '{_SPACE}+', '', 'g')""")
 def shifted_positions(items: DataFrame) -> DataFrame:
+    """Places of each job's list that hold another title than in the job before it over the same target."""
     place = ["target_key", "page_number", "item_index"]
     rows = R.best_per_key(items.where("page_number IS NOT NULL AND item_index IS NOT NULL AND target_key IS NOT NULL").select("job_id", *place, "title", "id"), ["job_id", *place], [-F.col("id")])
-    last = rows.groupBy("target_key").agg(F.max("job_id").alias("job_id"))
-    before = rows.join(last.withColumnRenamed("job_id", "last"), "target_key").where("job_id < last").groupBy("target_key").agg(F.max("job_id").alias("job_id"))
-    of = lambda jobs: rows.join(jobs, ["target_key", "job_id"], "left_semi")
-    return big(inventory.by_position(of(before), of(last), place, "title"))
+    chain = Window.partitionBy("target_key").orderBy("job_id")
+    jobs = rows.select("target_key", "job_id").distinct().select("target_key", "job_id", F.lag("job_id").over(chain).alias("prev"), F.lead("job_id").over(chain).alias("next"))
+    before = rows.join(jobs.where("next IS NOT NULL"), ["target_key", "job_id"]).withColumn("job_id", F.col("next"))
+    now = rows.join(jobs.where("prev IS NOT NULL"), ["target_key", "job_id"])
+    return big(inventory.by_position(before, now, ["job_id", *place], "title"))
 
 
 @query("scan_jobs", "scan_item_results", sql="""
-WITH n AS (SELECT j.id, j.status, count(r.id) AS n_items, count(DISTINCT r.target_key || '~' || r.url) AS n_unique, count(*) FILTER (detail_status IN ('checked_complete', 'checked_incomplete', 'no_header', 'reused', 'skipped')) AS n_done, count(*) FILTER (detail_status IN ('exception', 'review_required')) AS n_exceptions FROM scan_jobs j LEFT JOIN scan_item_results r ON r.job_id = j.id GROUP BY 1, 2)
-SELECT id, status, n_items, n_unique, n_done, n_exceptions, concat_ws('; ', CASE WHEN n_items = 0 THEN 'no entries' END, CASE WHEN n_items <> n_unique THEN 'entries repeat' END, CASE WHEN n_done < n_items THEN 'entries are open' END, CASE WHEN n_exceptions > 0 THEN 'exceptions are left' END) AS mismatches FROM n""")
+WITH n AS (SELECT j.id, j.status, count(r.id) AS n_items, count(DISTINCT r.target_key || '~' || r.url) AS n_unique, count(*) FILTER (detail_status IN ('checked_complete', 'checked_incomplete', 'no_header', 'reused', 'skipped')) AS n_done, count(*) FILTER (detail_status IN ('exception', 'review_required')) AS n_exceptions, count(*) FILTER (r.id IS NOT NULL AND checked_at IS NULL) AS n_unchecked FROM scan_jobs j LEFT JOIN scan_item_results r ON r.job_id = j.id GROUP BY 1, 2)
+SELECT id, status, n_items, n_unique, n_done, n_exceptions, concat_ws('; ', CASE WHEN n_items = 0 THEN 'no entries' END, CASE WHEN n_items <> n_unique THEN 'entries repeat' END, CASE WHEN n_done < n_items THEN 'entries are open' END, CASE WHEN n_exceptions > 0 THEN 'exceptions are left' END, CASE WHEN n_unchecked > 0 THEN 'entries were not checked' END) AS mismatches FROM n""")
 def coverage(jobs: DataFrame, items: DataFrame) -> DataFrame:
-    return R.coverage(jobs, items.withColumn("checked_at", F.coalesce("checked_at", F.current_timestamp())), DONE).select("id", "status", "n_items", "n_unique", "n_done", "n_exceptions", "mismatches")
+    return R.coverage(jobs, items, DONE).select("id", "status", "n_items", "n_unique", "n_done", "n_exceptions", "mismatches")
 
 
 @query("scan_item_results", sql="""
@@ -386,9 +435,25 @@ def union_runs(jobs: DataFrame, findings: DataFrame) -> DataFrame:
 # --- review and report --------------------------------------------------------------------------------------------
 
 
-@query("rule_findings", "policy_documents", sql="SELECT f.id, f.rule_code, f.review_status, d.title, '' AS note FROM rule_findings f JOIN policy_documents d ON d.id = f.document_id WHERE f.review_status = 'pending' ORDER BY f.id DESC LIMIT 20 OFFSET 20")
+@query("rule_findings", "policy_documents", sql="SELECT f.id, f.rule_code, f.review_status, d.title, CASE WHEN f.review_status <> 'pending' THEN f.review_status || ' at severity ' || f.severity ELSE '' END AS note FROM (SELECT * FROM rule_findings QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST) = 1) f JOIN policy_documents d ON d.id = f.document_id ORDER BY f.id DESC LIMIT 50 OFFSET 50")
 def review_page(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    return review.queue(findings, docs, status="pending", page=2).select("id", "rule_code", "review_status", "title", "note")
+    """The second page of findings, each once, with the notes of decisions that were made."""
+    one = R.best_per_key(findings, ["id"], [F.col("created_at")])
+    decisions = one.where("review_status <> 'pending'").select(F.col("id").alias("finding_id"), F.concat("review_status", F.lit(" at severity "), "severity").alias("note"))
+    return review.queue(one, docs, decisions, page=2, size=50).select("id", "rule_code", "review_status", "title", "note")
+
+
+@query("rule_findings", "policy_documents", sql="SELECT f.id, f.rule_code, d.title FROM (SELECT * FROM rule_findings QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST) = 1) f JOIN policy_documents d ON d.id = f.document_id ORDER BY f.id DESC LIMIT 500")
+def newest_findings(findings: DataFrame, docs: DataFrame) -> DataFrame:
+    return R.findings_with_documents(R.best_per_key(findings, ["id"], [F.col("created_at")]), docs).orderBy(F.desc("id")).limit(500).select("id", "rule_code", "title")
+
+
+@query("rule_findings", sql="SELECT id, CASE WHEN severity = 'high' THEN 'confirmed' ELSE review_status END AS review_status FROM (SELECT * FROM rule_findings QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST) = 1)")
+def decided_findings(findings: DataFrame) -> DataFrame:
+    """Findings after decisions: all of high severity are confirmed, in two rounds of which the later counts."""
+    one = R.best_per_key(findings, ["id"], [F.col("created_at")])
+    rows = lambda decision, day: one.where("severity = 'high'").select(F.col("id").alias("finding_id"), F.lit(decision).alias("decision"), F.lit("").alias("note"), F.lit(date(2026, 1, day)).cast("timestamp").alias("decided_at"))
+    return review.decided(one, rows("dismissed", 1), rows("confirmed", 2))[0].select("id", "review_status")
 
 
 @query("scan_jobs", "scan_item_results", "rule_findings", "policy_documents", sql=f"""
@@ -417,18 +482,22 @@ def upsert_links(links: DataFrame) -> DataFrame:
     return keyed_upsert(first, rows.where(F.col("id") > middle), key, [F.col("checked_at"), F.col("id")]).select(*key, "id")
 
 
-@query("document_snapshots", sql="SELECT document_id, min(job_id) AS first_job_id, max(job_id) AS last_job_id FROM document_snapshots GROUP BY 1")
+@query("document_snapshots", sql="SELECT document_id, min(job_id) AS first_job_id, max(job_id) AS last_job_id, arg_max({'v': json_extract_string(raw_json, '$.title')}, (job_id, id)).v AS title, arg_max(json_extract_string(raw_json, '$.authored_date'), (job_id, id)) FILTER (json_extract_string(raw_json, '$.authored_date') IS NOT NULL) AS authored, CASE WHEN max(job_id) > (SELECT quantile_disc(job_id, 0.5) FROM document_snapshots) THEN 'seen again' ELSE 'seen' END AS state FROM document_snapshots GROUP BY 1")
 def upsert_documents(records: DataFrame) -> DataFrame:
-    rows = records.select("document_id", F.col("job_id").alias("first_job_id"), F.col("job_id").alias("last_job_id"))
-    middle = rows.agg(F.percentile_approx("last_job_id", 0.5)).first()[0] or 0
-    old = keyed_upsert(rows.limit(0), rows.where(F.col("last_job_id") <= middle), ["document_id"], [F.col("last_job_id")], keep=["first_job_id"])
-    return keyed_upsert(old, rows.where(F.col("last_job_id") > middle), ["document_id"], [F.col("last_job_id")], keep=["first_job_id"])
+    """Documents over two deliveries: the first job stays, the newest title wins, the last date that is known is kept, and those of
+    the second delivery are marked."""
+    rows = records.select("document_id", F.col("job_id").alias("first_job_id"), F.col("job_id").alias("last_job_id"), F.get_json_object("raw_json", "$.title").alias("title"), F.get_json_object("raw_json", "$.authored_date").alias("authored"), "id", F.lit("seen").alias("state"))
+    middle = rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY last_job_id)")).first()[0] or 0
+    kinds = {"key": ["document_id"], "order": [F.col("last_job_id"), F.col("id")], "keep": ["first_job_id"], "fill": ["authored"]}
+    old = keyed_upsert(rows.limit(0), rows.where(F.col("last_job_id") <= F.lit(middle)), **kinds)
+    return keyed_upsert(old, rows.where(F.col("last_job_id") > F.lit(middle)), **kinds, last={"state": F.lit("seen again")}).drop("id")
 
 
-@query("rule_findings", sql="SELECT id, job_id, document_id FROM rule_findings")
+@query("rule_findings", sql="SELECT id, job_id, document_id, rule_code, CASE WHEN review_status = 'pending' THEN 'reviewed' ELSE review_status END AS review_status FROM rule_findings f WHERE review_status = 'pending' OR NOT EXISTS (SELECT 1 FROM rule_findings p WHERE p.review_status = 'pending' AND p.job_id = f.job_id AND p.document_id = f.document_id)")
 def replace_set(findings: DataFrame) -> DataFrame:
-    rows = findings.select("id", "job_id", "document_id")
-    return replaced(rows, rows.where("job_id IS NOT NULL"), ["job_id", "document_id"])
+    """Findings after the sets of all documents with pending ones are delivered anew, without those that were decided."""
+    rows = findings.select("id", "job_id", "document_id", "rule_code", "review_status")
+    return replaced(rows, rows.where("review_status = 'pending'").withColumn("review_status", F.lit("reviewed")), ["job_id", "document_id"])
 
 
 @query("scan_item_results", sql="SELECT id, job_id, target_key, CAST(page_number AS BIGINT) AS page_number, CASE WHEN id = max(id) OVER (PARTITION BY job_id, target_key, page_number, item_index) THEN item_index ELSE -id END AS item_index FROM scan_item_results WHERE page_number IS NOT NULL AND item_index IS NOT NULL")
@@ -483,3 +552,5 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"stream_failure_alarms": stream_failure_alarms, "stream_first_seen": stream_first_seen}
 SQL |= {"stream_failure_alarms": _RUNS, "stream_first_seen": "SELECT DISTINCT target_key, url FROM scan_item_results WHERE url IS NOT NULL"}
+
+from sifthall import registry_runs  # noqa: E402, F401  (registers its queries)
