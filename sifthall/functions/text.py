@@ -164,6 +164,15 @@ def evidence_terms(terms: Column) -> Column:
     return F.array_sort(kept, order)
 
 
+def highlighted(text: Column, terms: list[str], before: str = "<mark>", after: str = "</mark>") -> Column:
+    """``text`` escaped for a page, with each of ``terms`` marked, the longest first."""
+    import re
+
+    known = sorted({t.strip() for t in terms if len(t.strip()) >= 2}, key=lambda t: (-len(t), t))
+    shown = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.regexp_replace(shown, "(" + "|".join(map(re.escape, known)) + ")", f"{before}$1{after}") if known else shown
+
+
 def fingerprint(*fields: Column) -> Column:
     """sha256 of trimmed fields joined by bars, null as empty."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(strip(f.cast("string")), F.lit("")) for f in fields]), 256)

@@ -41,6 +41,13 @@ def claimed(queue: DataFrame, n: int) -> DataFrame:
     return joined.withColumn("status", F.when(taken, "checking").otherwise(F.col("status"))).withColumn("attempt", F.col("attempt") + taken.cast("int")).drop("__taken")
 
 
+def completed(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """``queue`` after entries were ``done`` (stable_id, status, document_id): their status, and the document where one is given."""
+    new = done.groupBy("stable_id").agg(F.max(F.struct("status", "document_id")).alias("__done"))
+    joined = queue.join(new, "stable_id", "left")
+    return joined.withColumn("status", F.coalesce("__done.status", "status")).withColumn("document_id", F.coalesce("__done.document_id", "document_id")).drop("__done")
+
+
 def caught_up(rounds: list[DataFrame], known: DataFrame, stop_after: int = 2) -> DataFrame:
     """Entries that repeated readings of a list's head add to ``known`` (stable_id), up to the round at which
     ``stop_after`` rounds in a row brought nothing new: (stable_id, round)."""
@@ -72,7 +79,8 @@ def resolved(df: DataFrame, column: str, names: DataFrame, into: str) -> DataFra
 
 
 def by_position(left: DataFrame, right: DataFrame, place: list[str], value: str) -> DataFrame:
-    """Places whose values differ, white space and compatibility forms of white space apart, or that one side lacks:
+    """Places whose values differ, white space of any kind apart, or that one side lacks (compare values of ``text.comparable``
+    to leave out other differences of form):
     (*place, left_value, right_value)."""
     solid = lambda c: F.regexp_replace(F.col(c), r"(?U)\s+", "")
     a, b = left.select(*place, F.col(value).alias("left_value"), F.lit(True).alias("l")), right.select(*place, F.col(value).alias("right_value"), F.lit(True).alias("r"))

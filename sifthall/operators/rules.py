@@ -12,7 +12,8 @@ from sifthall.functions import text as T
 from sifthall.operators.relational import SMALL, first_agency
 from sifthall.plans.stage import broadcast_if_small
 
-OTHER_SUBJECT = r"[一-鿿]{1,3}市[^\s，。；]{2,24}(?:委员会|局|办公室|中心)"
+# The codes, kinds, severities and states below, the city of other bodies and the ends of their names.
+CITY, OTHER_BODY = "上海市", r"[^\s，。；]{2,24}(?:委员会|局|办公室|中心)"
 
 
 def _finding(code: str, category: str, severity: str, status: str, when: Column, page: Column, body: Column, detail: str) -> Column:
@@ -44,9 +45,9 @@ def unfolded(docs: DataFrame, findings: Column, key: str = "id") -> DataFrame:
     return docs.select(F.col(key).alias("document_id"), F.inline(findings))
 
 
-def agency_findings(docs: DataFrame, agencies: DataFrame) -> DataFrame:
+def agency_findings(docs: DataFrame, agencies: DataFrame, city: str = CITY) -> DataFrame:
     """(document_id, rule_code, ...): the number's prefix, the title's and the signature's body held against the first
-    agency that the document names. Documents without number or agency, or of no known agency, have none."""
+    agency that the document names. ``city`` is a pattern of the city whose bodies a title may name. Documents without number or agency, or of no known agency, have none."""
     names = F.concat(F.array("agency_name"), F.coalesce("aliases", F.array().cast("array<string>")))
     known = broadcast_if_small(agencies.select(F.col("id").alias("agency_id"), names.alias("names"), "document_prefixes"), SMALL)
     rows = docs.withColumn("number", T.document_number(F.col("page_document_number"))).where("number <> '' AND issuing_agency <> ''")
@@ -55,7 +56,7 @@ def agency_findings(docs: DataFrame, agencies: DataFrame) -> DataFrame:
     title, tail, agency = F.coalesce("title", F.lit("")), F.right(F.coalesce("body_text", F.lit("")), F.lit(800)), F.col("issuing_agency")
     in_title = F.exists("names", lambda n: F.contains(title, n))
     in_tail = F.filter("names", lambda n: F.contains(tail, n))
-    other = F.regexp_extract(title, OTHER_SUBJECT, 0)
+    other = F.regexp_extract(title, city + OTHER_BODY, 0)
     found = F.array_compact(F.array(
         _finding("AGENCY-001", "机构问题", "medium", "pending", prefix.isNotNull() & ~F.exists("document_prefixes", lambda p: F.startswith(prefix, p)), agency, prefix, "number's prefix is not the agency's"),
         _finding("AGENCY-002", "机构问题", "medium", "pending", ~in_title & F.exists("names", lambda n: F.contains(n, F.lit("人民政府"))) & (other != ""), agency, other, "title names another body"),

@@ -95,3 +95,35 @@ class VersionedTable:
         current = self.read()
         base = updates.limit(0) if current is None else current
         self.write(keyed_upsert(base, updates, key, order, **kinds))
+
+
+class BucketedTable:
+    """A keyed table in ``buckets`` of its key, each a versioned table of its own: an upsert rewrites only the buckets that its rows
+    touch, in one write, and leaves the others as they are. A failed upsert leaves whole buckets old or new; giving it the same
+    rows again completes it."""
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+        self.head = VersionedTable(spark, f"{self.path}/head")
+
+    def _paths(self) -> dict[int, str]:
+        head = self.head.read()
+        return {} if head is None else {r["bucket"]: r["path"] for r in head.collect()}  # one row per bucket
+
+    def read(self) -> DataFrame | None:
+        paths = self._paths()
+        return self.spark.read.parquet(*sorted(paths.values())) if paths else None
+
+    def upsert(self, updates: DataFrame, key: list[str], order: list[Column], **kinds) -> None:
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        touched = sorted(r["b"] for r in updates.select(bucket.alias("b")).distinct().collect())  # no more than there are buckets
+        if not touched:
+            return
+        paths = self._paths()
+        old = [paths[b] for b in touched if b in paths]
+        base = self.spark.read.parquet(*old) if old else updates.limit(0)
+        merged = keyed_upsert(base, updates, key, order, **kinds).withColumn("__bucket", bucket)
+        version = f"{self.path}/v-{uuid.uuid4().hex}"
+        merged.repartition(F.col("__bucket")).write.partitionBy("__bucket").parquet(version)
+        after = paths | {b: f"{version}/__bucket={b}" for b in touched}
+        self.head.write(self.spark.createDataFrame(sorted(after.items()), "bucket int, path string").coalesce(1))

@@ -225,7 +225,7 @@ SELECT id AS document_id, 'AGENCY-001' AS rule_code FROM t WHERE prefix <> '' AN
 UNION ALL SELECT id, 'AGENCY-002' FROM t WHERE len(list_filter(names, lambda n: contains(coalesce(title, ''), n))) = 0 AND len(list_filter(names, lambda n: contains(n, '人民政府'))) > 0 AND other <> ''
 UNION ALL SELECT id, 'AGENCY-003' FROM t WHERE len(tail) > 0 AND len(list_filter(tail, lambda n: contains(issuing_agency, n))) = 0""")
 def rule_findings_agency(docs: DataFrame, agencies: DataFrame) -> DataFrame:
-    return rules.agency_findings(docs, agencies).select("document_id", "rule_code")
+    return rules.agency_findings(docs, agencies, city="[一-鿿]{1,3}市").select("document_id", "rule_code")
 
 
 @query("scan_item_results", sql="SELECT id AS document_id, 'META-001' AS rule_code, array_to_string(missing_fields, '、') AS missing FROM scan_item_results WHERE header_detected AND len(missing_fields) > 0")
@@ -553,4 +553,4 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"stream_failure_alarms": stream_failure_alarms, "stream_first_seen": stream_first_seen}
 SQL |= {"stream_failure_alarms": _RUNS, "stream_first_seen": "SELECT DISTINCT target_key, url FROM scan_item_results WHERE url IS NOT NULL"}
 
-from sifthall import registry_runs  # noqa: E402, F401  (registers its queries)
+from sifthall import registry_captures, registry_runs  # noqa: E402, F401  (they register their queries)

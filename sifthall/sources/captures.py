@@ -46,7 +46,7 @@ def page_violations(pages: DataFrame, size: int, cap: int = 10_000) -> DataFrame
     checks = F.array_compact(F.array(
         F.when(~beyond & (F.col("page.pageNo") != F.col("requested_page")), "page echo"), F.when(declared != expected, "number of pages"),
         F.when(~beyond & (total < cap) & (n != want), "number of rows"), F.when(~beyond & (F.col("requested_page") > F.greatest(declared, F.lit(1))), "page out of range"),
-        F.when(F.exists("page.list", lambda r: T.first_filled(r["doc_flag"], r["docFlag"]) != "1"), "flag"),
+        F.when(F.exists("page.list", lambda r: F.coalesce(r["doc_flag"], r["docFlag"], F.lit("")) != "1"), "flag"),  # an empty flag is one
         F.when(F.exists("page.list", lambda r: (T.first_filled(r["title"], r["name"]) == "") | (T.first_filled(r["url"], r["link"], r["linkUrl"], r["website"]) == "")), "row without title or address"),
         F.when(F.size(F.array_distinct(F.transform("page.list", lambda r: T.first_filled(r["id"], r["url"])))) < n, "row twice in a page"),
     ))
@@ -66,7 +66,7 @@ def list_items(pages: DataFrame, target: str, base_url: str) -> DataFrame:
     address = r("url", "link", "linkUrl", "website")
     if base_url:
         address = F.when(address.rlike("^https?://"), address).otherwise(web.resolve(F.lit(base_url), address))
-    flat = rows.select("requested_page", "channel_id", "item_index", r("id").alias("api_id"), r("title", "name").alias("title"), address.alias("url"), T.any_date(r("display_date", "displayDate")).alias("listed_date"), r("doc_flag", "docFlag").alias("doc_flag"))
+    flat = rows.select("requested_page", "channel_id", "item_index", r("id").alias("api_id"), r("title", "name").alias("title"), address.alias("url"), T.any_date(r("display_date", "displayDate")).alias("listed_date"), F.coalesce(F.col("r")["doc_flag"], F.col("r")["docFlag"], F.lit("")).alias("doc_flag"))
     printed = T.fingerprint(F.col("title"), F.col("listed_date"), F.col("url"), F.col("doc_flag"))
     return flat.withColumn("stable_id", T.stable_identity(F.lit(target), F.col("api_id"), F.col("url"))).withColumn("fingerprint", printed)
 
@@ -85,12 +85,13 @@ def after(items: DataFrame, page: int, index: int) -> DataFrame:
 
 def detail_inspection(pages: DataFrame, text: str = "body_text", pairs: str = "metadata_pairs") -> DataFrame:
     """``pages`` with ``header_detected``, ``values`` (label to value; pairs found in the page override blanks of its text),
-    ``missing`` and ``invalid`` labels. Without any header all three are null: nothing was to be checked."""
+    ``missing`` and ``invalid`` labels; a pair's label may end in a colon and hold white space. Without any header all three are null: nothing was to be checked."""
     from_text = F.create_map(*[x for label in T.HEADER_LABELS for x in (F.lit(label), T.header_value(F.coalesce(F.col(text), F.lit("")), label))])
-    own = F.filter(F.coalesce(F.col(pairs), F.array().cast("array<struct<label:string,value:string>>")), lambda p: p["label"].isin(*T.HEADER_LABELS) & (T.strip(F.coalesce(p["value"], F.lit(""))) != ""))
+    cleaned = F.transform(F.coalesce(F.col(pairs), F.array().cast("array<struct<label:string,value:string>>")), lambda p: F.struct(F.regexp_replace(F.regexp_replace(p["label"], r"(?U)\s+", ""), "[:：]$", "").alias("label"), p["value"].alias("value")))
+    own = F.filter(cleaned, lambda p: p["label"].isin(*T.HEADER_LABELS) & (T.strip(F.coalesce(p["value"], F.lit(""))) != ""))
     value = lambda label: F.coalesce(T.strip(F.try_element_at(F.filter(own, lambda p: p["label"] == label), F.lit(-1))["value"]), F.element_at(from_text, label))
     values = F.create_map(*[x for label in T.HEADER_LABELS for x in (F.lit(label), value(label))])
-    named = F.exists(F.coalesce(F.col(pairs), F.array().cast("array<struct<label:string,value:string>>")), lambda p: p["label"].isin(*T.HEADER_LABELS))
+    named = F.exists(cleaned, lambda p: p["label"].isin(*T.HEADER_LABELS))
     detected = named | F.coalesce(T.has_header(F.col(text)), F.lit(False))
     got = pages.withColumn("header_detected", detected).withColumn("values", F.when(F.col("header_detected"), values))
     missing = T.missing_labels({label: F.element_at("values", label) for label in T.HEADER_LABELS})
@@ -118,6 +119,32 @@ def is_ready(text: Column) -> Column:
     return F.coalesce(has("发布日期") & (has("发文单位") | has("发布机构")), F.lit(False))
 
 
+def head_pages(items: DataFrame, n: int = 2) -> DataFrame:
+    """Entries of the first ``n`` pages of each list: what a look at its head brings."""
+    return items.where(F.col("requested_page").between(1, n))
+
+
+def capped_lists(pages: DataFrame, size: int, cap: int) -> DataFrame:
+    """(channel_id, declared, total, capped, unique_rows, real_total) of each list: its total is capped if it stands at the cap and there
+    are rows beyond the declared pages, or more on the last of them than the total leaves for it. The real total is then what was
+    read, each entry once."""
+    rows = list_items(pages, "", "")
+    last = F.max(F.when(F.col("requested_page") == F.col("page.totalPage"), F.size("page.list")))
+    own = pages.groupBy("channel_id").agg(F.max("page.totalCount").alias("total"), F.max("page.totalPage").alias("declared"), last.alias("on_last"), F.max(F.when(F.size("page.list") > 0, F.col("requested_page"))).alias("filled"))
+    unique = rows.groupBy("channel_id").agg(F.countDistinct("stable_id").alias("unique_rows"))
+    capped = (F.col("total") == cap) & ((F.coalesce("filled", F.lit(0)) > F.col("declared")) | (F.coalesce("on_last", F.lit(0)) > F.col("total") - (F.col("declared") - 1) * size))
+    joined = own.join(unique, "channel_id", "left").withColumn("capped", F.coalesce(capped, F.lit(False)))
+    return joined.select("channel_id", "declared", "total", "capped", F.coalesce("unique_rows", F.lit(0)).alias("unique_rows"), F.when(F.col("capped"), F.coalesce("unique_rows", F.lit(0))).otherwise(F.col("total")).alias("real_total"))
+
+
+def revised_totals(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(channel_id, total, previous, violation) of lists (channel_id, total, examined) that were read before: a total that changed while
+    entries were examined, or fell below them."""
+    joined = now.select("channel_id", "total", "examined").join(before.select("channel_id", F.col("total").alias("previous")), "channel_id")
+    violation = F.when((F.col("examined") > 0) & (F.col("total") < F.col("examined")), "total below what was examined").when((F.col("examined") > 0) & (F.col("total") != F.col("previous")), "total changed")
+    return joined.select("channel_id", "total", "previous", violation.alias("violation"))
+
+
 def ready_captures(captures: DataFrame, key: str, text: str, attempt: str, most: int = 2) -> DataFrame:
     """One capture per page: the first of ``most`` that is ready, else the last of them."""
     tried = captures.where(F.col(attempt) <= most)

@@ -1,7 +1,8 @@
 """Stateful operators over event streams, in Structured Streaming.
 
-Sources are folders or globs of files read with a given schema; sinks are folders or keyed tables. Each stream has its
-checkpoint in the shared folder, so that a restart goes on where it stopped, and each sink write is idempotent.
+Sources are folders or globs of files read with a given schema; sinks are folders or keyed tables. A stream that is given the same
+checkpoint and output again goes on where it stopped; without them it starts anew, in fresh folders of the shared folder. Each sink
+write is idempotent.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from sifthall.plans.merge import VersionedTable
+from sifthall.plans.merge import BucketedTable, VersionedTable
 from sifthall.plans.stage import fresh_path
 
 
@@ -56,19 +57,21 @@ def failure_alarms(stream: DataFrame, alarm: int = 3) -> DataFrame:
     return stream.groupBy("run_id").applyInPandasWithState(step, RUN_SCHEMA, RUN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now: run to its end, written to the shared folder and read back."""
+def drained(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """What a stream gives for all that is there now: run to its end, written to the shared folder and read back. With ``folder``,
+    output and checkpoint lie there, and a later call reads only what has come since."""
     spark = stream.sparkSession
-    out, checkpoint = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
+    out, checkpoint = (f"{folder}/{name}", f"{folder}/{name}-checkpoint") if folder else (fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint"))
     stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upserted(stream: DataFrame, table: VersionedTable, key: list[str], order: str, **kinds) -> None:
-    """A keyed table kept up to date from a stream: each batch is merged as a whole, and merging it again changes nothing."""
+def upserted(stream: DataFrame, table: VersionedTable | BucketedTable, key: list[str], order: str, checkpoint: str | None = None, **kinds) -> None:
+    """A keyed table kept up to date from a stream: each batch is merged as a whole, and merging it again changes nothing. With the
+    same ``checkpoint`` a later call goes on where this one stopped."""
 
     def merge(batch: DataFrame, _: int) -> None:
         table.upsert(batch, key, [F.col(order)], **kinds)
 
     spark = stream.sparkSession
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", fresh_path(spark, "upsert-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or fresh_path(spark, "upsert-checkpoint")).trigger(availableNow=True).start().awaitTermination()
