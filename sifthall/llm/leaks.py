@@ -8,8 +8,9 @@ checked for consistency: a window that both have is consistent if each of its sl
 Pairs with a consistent window are held against each other character by character, and a run of at least ``least`` raw
 characters is a leak; template matches without one, whose slots differ, are re-parameterised items.
 
-Items are the stated query set. They are taken in blocks of ``BLOCK_ITEMS``, each held against all documents, so that what a
-task holds of them is bounded however many there are.
+Items are the stated query set. They are taken in blocks of ``BLOCK_ITEMS``, each held against all documents: the windows of a
+block are the small side of the hash join, which every worker holds, so that documents are read once per block where they lie, and
+nothing is shuffled. What a worker holds is bounded by the block, however many items there are.
 
 No leak is lost: every raw run of ``least`` characters holds a whole window that does not depend on what surrounds
 the run, and which is consistent; runs of an item for which that cannot be shown (made of little but numbers and names) are also joined by the
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -33,15 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifthall.llm.chars import SLOW, chunks, codes, fold_table, prefix_sums, span_hashes, windows
-from sifthall.plans.stage import stage
 
 BETWEEN, NUMBER, UNIT, NAME = 0xF0000, 0xF0001, 0xF0002, 0xF0003
 UNITS = "年月日时分秒天周岁元角万亿个份次处人名户项条家枚行台件座米吨里亩度号层股届期页"
 SUFFIXES = "省市区县镇乡村路街巷弄里坊浜苑桥河江湖山局院校社会组队所馆站厂仓闸口"
 WIDTH, LEAST = 20, 60
-#: Bits of the filter of a block's item windows that documents are held against before the join, and the items of a block: some
-#: three million windows fill a twentieth of the filter.
-FILTER_BITS, BLOCK_ITEMS = 26, 10_000
+#: Items of a block: some three million windows, 50 MB.
+BLOCK_ITEMS = 10_000
 
 
 def stream(text: str | None) -> np.ndarray:
@@ -148,36 +146,26 @@ def _item_windows(item_ids: list[int], texts: list[str], automaton, longest: int
     return sorted(rows), dense
 
 
-def _filter(hashes: np.ndarray) -> np.ndarray:
-    """A filter of hashes, eight places a byte."""
-    at = (hashes >> np.int64(7)) & np.int64((1 << FILTER_BITS) - 1)
-    packed = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    np.bitwise_or.at(packed, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    return packed
+class Index:
+    """Windows of a block of items by their hash, and a filter of them in front, sixteen bits a window or more."""
 
+    def __init__(self, rows: list[tuple[int, int]]):
+        self.hashes, self.items = (np.array([r[k] for r in sorted(rows)], dtype=np.int64) for k in (0, 1))
+        self.bits = max(16, int(np.ceil(np.log2(16 * max(len(rows), 1)))))
+        self.filter = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
+        at = self._places(self.hashes)
+        np.bitwise_or.at(self.filter, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
-def _passes(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.int64(7)) & np.int64((1 << FILTER_BITS) - 1)
-    return (packed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.int64(7)) & np.int64((1 << self.bits) - 1)
 
-
-def _window_hits(names: list[str], packed: bytes, raw_too: bool, width: int, least: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(names)
-        bits = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, texts in chunks(batch.column(1)):
-                raw = streams(texts)
-                symbols, _ = template(raw, automaton)
-                for kind, stream_, span in ((0, symbols, width), *([(1, raw, least)] if raw_too else [])):
-                    h = windows(stream_, span)
-                    hit = np.flatnonzero(_passes(bits, h))
-                    owner = at + np.searchsorted(np.flatnonzero(stream_ == BETWEEN), hit)
-                    pairs = np.unique(np.stack([ids[owner], h[hit]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(np.full(pairs.shape[1], kind, dtype=np.int32)), pa.array(pairs[1])], names=["doc_id", "kind", "hash"])
-
-    return run
+    def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``hashes``, item) of all windows that are in the index."""
+        at = self._places(hashes)
+        hit = np.flatnonzero(self.filter[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        low, high = (np.searchsorted(self.hashes, hashes[hit], side=side) for side in ("left", "right"))
+        n = high - low
+        return np.repeat(hit, n), self.items[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
 
 def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -192,86 +180,107 @@ def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
     return low
 
 
-def slots_agree(raw_a: np.ndarray, raw_b: np.ndarray, automaton, width: int) -> tuple[float, int, int, int]:
+class Sides:
+    """A text's raw stream and template, with what is compared of them worked out once."""
+
+    def __init__(self, raw: np.ndarray, symbols: np.ndarray, at: np.ndarray, width: int, least: int):
+        self.raw, self.symbols, self.width, self.least = raw, symbols, width, least
+        self.slots = span_hashes(prefix_sums(raw), at, np.append(at[1:], len(raw))) if len(at) else np.empty(0, dtype=np.int64)
+        self.windows = windows(symbols, width)
+        self.order = np.argsort(self.windows, kind="stable")
+        self.sorted = self.windows[self.order]
+        self._runs: np.ndarray | None = None
+
+    @property
+    def runs(self) -> np.ndarray:
+        if self._runs is None:
+            self._runs = np.sort(windows(self.raw, self.least))
+        return self._runs
+
+
+def slots_agree(a: Sides, b: Sides) -> tuple[float, int, int, int]:
     """(share of b's template windows that a has, slots in them, slots that hold the same number, unit or name in both, windows
     of which all slots do)."""
-    ta, pa_ = template(raw_a, automaton)
-    tb, pb = template(raw_b, automaton)
-    wa, wb = windows(ta, width), windows(tb, width)
-    if not len(wa) or not len(wb):
+    if not len(a.windows) or not len(b.windows):
         return 0.0, 0, 0, 0
-    # each of b's windows against each place of a that has it: a's in order, so that equal ones are neighbours
-    order = np.argsort(wa, kind="stable")
-    low, high = np.searchsorted(wa[order], wb, side="left"), np.searchsorted(wa[order], wb, side="right")
+    low, high = np.searchsorted(a.sorted, b.windows, side="left"), np.searchsorted(a.sorted, b.windows, side="right")
     n = high - low
     if not n.any():
         return 0.0, 0, 0, 0
-    ib = np.repeat(np.arange(len(wb)), n)
-    ia = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    held_a, held_b = (span_hashes(prefix_sums(raw), at, np.append(at[1:], len(raw))) for raw, at in ((raw_a, pa_), (raw_b, pb)))
-    seen, same, whole = np.zeros(len(tb), dtype=bool), np.zeros(len(tb), dtype=bool), np.ones(len(ia), dtype=bool)
-    for k in range(width):
-        x, y = ia + k, ib + k
-        slot = tb[y] >= NUMBER
-        equal = held_a[x] == held_b[y]
-        whole &= equal | ~slot
-        seen[y[slot]] = True
-        same[y[slot & equal]] = True
+    ib = np.repeat(np.arange(len(b.windows)), n)
+    ia = a.order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    seen, same, whole = np.zeros(len(b.symbols), dtype=bool), np.zeros(len(b.symbols), dtype=bool), np.ones(len(ia), dtype=bool)
+    for k in range(b.width):
+        y = ib + k
+        slot = b.symbols[y] >= NUMBER
+        if slot.any():
+            equal = a.slots[ia + k] == b.slots[y]
+            whole &= equal | ~slot
+            seen[y[slot]] = True
+            same[y[slot & equal]] = True
     return float((n > 0).mean()), int(seen.sum()), int(same.sum()), int(whole.sum())
 
 
-def _verify(texts: dict[int, str], names: list[str], width: int, least: int, dense: bool) -> Callable:
+def _compare(texts: dict[int, str], names: list[str], templates: Index, raws: Index | None, width: int, least: int) -> Callable:
+    """(doc_id, item_id, run_length, covered, slots, slots_same) of documents with shared windows: whole batches are looked up at
+    once, and only documents that are met are cut out and compared."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(names)
-        items: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        items: dict[int, Sides] = {}
         for batch in batches:
-            out = []
-            for doc_id, text, item_ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                a = stream(text)
-                runs = None
-                for item_id in item_ids:
+            ids = batch.column(0).to_pylist()
+            for first, part in chunks(batch.column(1)):
+                raw = streams(part)
+                symbols, at = template(raw, automaton)
+                raw_ends, ends = np.flatnonzero(raw == BETWEEN), np.flatnonzero(symbols == BETWEEN)
+                met = set()
+                for index, line, stops, span in ((templates, symbols, ends, width), *([(raws, raw, raw_ends, least)] if raws else [])):
+                    places, found = index.met(windows(line, span))
+                    met.update(zip(np.searchsorted(stops, places).tolist(), found.tolist(), strict=True))
+                out, last, doc = [], -1, None
+                for k, item_id in sorted(met):
+                    if k != last:
+                        r0, s0 = (raw_ends[k - 1] + 1, ends[k - 1] + 1) if k else (0, 0)
+                        last, doc = k, Sides(raw[r0 : raw_ends[k]], symbols[s0 : ends[k]], at[s0 : ends[k]] - r0, width, least)
                     if item_id not in items:
-                        items[item_id] = (b := stream(texts[item_id]), windows(b, least))
-                    b, own = items[item_id]
-                    covered, slots, same, consistent = slots_agree(a, b, automaton, width)
-                    shared = False
-                    if (consistent or dense) and len(own):
-                        runs = np.sort(windows(a, least)) if runs is None else runs
-                        shared = len(runs) > 0 and bool((runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own).any())
-                    out.append((doc_id, item_id, longest_run(a, b, least) if shared else 0, covered, slots, same))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((),) * 6, kinds, strict=True)], names=["doc_id", "item_id", "run_length", "covered", "slots", "slots_same"])
+                        b = stream(texts[item_id])
+                        items[item_id] = Sides(b, *template(b, automaton), width, least)
+                    item = items[item_id]
+                    covered, slots, same, consistent = slots_agree(doc, item)
+                    shared = bool(consistent or raws) and len(doc.runs) > 0 and len(item.runs) > 0 and bool((doc.runs[np.minimum(np.searchsorted(doc.runs, item.runs), len(doc.runs) - 1)] == item.runs).any())
+                    out.append((ids[first + k], item_id, longest_run(doc.raw, item.raw, least) if shared else 0, covered, slots, same))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((),) * 6, kinds, strict=True)], names=["doc_id", "item_id", "run_length", "covered", "slots", "slots_same"])
 
     return run
 
 
-def candidates(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, max_items: int = BLOCK_ITEMS) -> tuple[DataFrame, dict[int, str], list[str], bool]:
-    """(doc_id, item_ids) that share a template window, the items' texts and the names used, and whether some are joined by raw
-    runs. ``items`` is a block of the stated query set: it is read to the driver behind a check of its size."""
-    spark = docs.sparkSession
+_PAIRS = "doc_id bigint, item_id bigint, run_length bigint, covered double, slots bigint, slots_same bigint"
+
+
+def candidates(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, max_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, item_id, run_length, covered, slots, slots_same) of documents and ``items``, a block of the stated query set, that share a
+    window. The block is read to the driver behind a check of its size."""
     held = items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").where("item_text <> ''").limit(max_items + 1).collect()
     if len(held) > max_items:
         raise ValueError(f"more than {max_items} items: give them in blocks")
     names = names_of([r.item_text for r in held])
     rows, dense = _item_windows([r.item_id for r in held], [r.item_text for r in held], _automaton(names), max(map(len, names), default=3), width, least)
-    keys = spark.createDataFrame(rows or [], "kind int, hash bigint, item_id bigint")
-    packed = zlib.compress(_filter(np.array([r[1] for r in rows], dtype=np.int64)).tobytes(), 1)
-    hits = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text <> ''").mapInArrow(_window_hits(names, packed, dense > 0, width, least), "doc_id bigint, kind int, hash bigint")
-    return hits.join(keys, ["kind", "hash"]).groupBy("doc_id").agg(F.collect_set("item_id").alias("item_ids")), {r.item_id: r.item_text for r in held}, names, dense > 0
+    templates, raws = (Index([(h, item) for kind, h, item in rows if kind == of]) for of in (0, 1))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    return texts.mapInArrow(_compare({r.item_id: r.item_text for r in held}, names, templates, raws if dense else None, width, least), _PAIRS)
 
 
 def compare(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, run_length, covered, slots, slots_same) of each pair that shares a template window; run_length
     is 0 if the longest common raw run is shorter than ``least``."""
-    blocks = -(-2 * items.count() // block_items) or 1  # half full on average, so that none is too full
+    n = items.count()
+    blocks = 1 if n <= block_items else -(-2 * n // block_items)  # half full on average, so that none is too full
     out: DataFrame | None = None
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(F.col("item_id").cast("bigint")), F.lit(blocks)) == block)
-        pairs, held, names, dense = candidates(docs, part, width=width, least=least, max_items=max(block_items, 1))
-        pairs = stage(pairs, "leak-pairs")
-        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
-        both = texts.join(pairs, "doc_id").select("doc_id", "text", "item_ids")
-        met = both.mapInArrow(_verify(held, names, width, least, dense), "doc_id bigint, item_id bigint, run_length bigint, covered double, slots bigint, slots_same bigint").distinct()
+        met = candidates(docs, part, width=width, least=least, max_items=max(block_items, 1))
         out = met if out is None else out.unionByName(met)
     return out
 
@@ -283,5 +292,5 @@ def found(docs: DataFrame, items: DataFrame) -> DataFrame:
 def reparameterised(docs: DataFrame, items: DataFrame, *, least_covered: float = 0.8, least_slots: int = 1) -> DataFrame:
     """Documents that hold at least ``least_covered`` of an item's template, but with other numbers or names in its slots:
     (doc_id, item_id, slots, slots_same)."""
-    pairs = compare(docs, items)
+    pairs = compare(docs, items).distinct()
     return pairs.where((F.col("run_length") == 0) & (F.col("covered") >= least_covered) & (F.col("slots") >= least_slots) & (F.col("slots_same") < F.col("slots"))).select("doc_id", "item_id", "slots", "slots_same")

@@ -13,18 +13,27 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts, radicals and signs that look like the character at the same place.
+from sifthall.plans.stage import stage
+
+# Letters of other scripts, radicals and signs that look like the character at the same place: Cyrillic, Greek,
+# Armenian, Cherokee, Coptic, Lisu and phonetic letters, radicals, circles, dashes, dots.
 LOOKALIKES = {
-    "АВЕЅІЈКМНОРСТУХԚԜҮӀЗ": "ABESIJKMHOPCTYXQWYIЗ",
-    "аеѕіјорсухһԁԛԝѵӏ": "aesijopcyxhdqwvl",
+    "АВЕЅІЈКМНОРСТУХԚԜҮӀЗ": "ABESIJKMHOPCTYXQWYI3",
+    "аеѕіјорсухһԁԛԝѵӏᴦ": "aesijopcyxhdqwvlr",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ": "ABEZHIKMNOPTYXCj",
-    "ανορυϲιχγκ": "avopuciXyk",
+    "ανορυϲιχγκ": "avopucixyk",
+    "օոսհզցյՕՍՏԼ": "onuhqgjOUSL",
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏢᏙᏚᏞᏟᏦᏴ": "DRTAJEWMHGZPVSLCKB",
+    "ⲟⲞⲣⲢⲥⲤⲎⲔⲘⲚⲦⲬ": "oOpPcCHKMNTX",
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴꓟ": "BPDTGKJCZFNLSRVHWXYAEIOUM",
+    "ɑɡıɩᴄᴏᴠᴡᴢꜱᴜʏ": "agiicovwzsuy",
     "⺠⻅⻆⻉⻋⻓⻔⻙⻚⻛⻜⻝⻢⻥⻦⻧⻨⻩⻬⻮⻰⻳⺟⻄⻘⻤⻣⺮⺫⺝": "民见角贝车长门韦页风飞食马鱼鸟卤麦黄齐齿龙龟母西青鬼骨竹罒月",
     "○◯": "〇〇",
     "‐‑‒–—―−﹘⁃➖": "----------",
@@ -42,7 +51,6 @@ def _letters() -> dict[int, str]:
     out = {}
     for left, right in LOOKALIKES.items():
         out |= {ord(a): b for a, b in zip(left, right, strict=True)}
-    out[ord("χ")] = "x"
     return out
 
 
@@ -77,21 +85,23 @@ def _values(docs: DataFrame, fields: list[str], key: str) -> DataFrame:
 def variants(docs: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     """(field_name, value, canonical, n_variants) of each distinct stored value.
 
-    The collated grouping sees distinct values only, so repeated values weigh nothing."""
+    Each distinct value is mapped once, and what it maps to is kept for both sides of the join; the collated grouping sees
+    distinct values only, so repeated values weigh nothing."""
     spark = docs.sparkSession
     stored = _values(docs, fields, key).groupBy("field_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    stored.withColumn("looks", F.pandas_udf(_look, "string")("value")).createOrReplaceTempView("sifthall_stored_values")
+    view = f"sifthall_stored_values_{uuid.uuid4().hex}"  # of its own, so that calls beside each other do not meet
+    stage(stored.withColumn("looks", F.pandas_udf(_look, "string")("value")), "looks").createOrReplaceTempView(view)
     try:
-        return spark.sql("""
+        return spark.sql(f"""
             WITH classes AS (
               SELECT field_name, looks COLLATE UNICODE AS class, min(struct(-n, value)).value AS canonical, count(*) AS n_variants
-              FROM sifthall_stored_values GROUP BY field_name, looks COLLATE UNICODE
+              FROM {view} GROUP BY field_name, looks COLLATE UNICODE
             )
             SELECT s.field_name, s.value, c.canonical, c.n_variants
-            FROM sifthall_stored_values s JOIN classes c ON s.field_name = c.field_name AND s.looks COLLATE UNICODE = c.class
+            FROM {view} s JOIN classes c ON s.field_name = c.field_name AND s.looks COLLATE UNICODE = c.class
         """)
     finally:
-        spark.catalog.dropTempView("sifthall_stored_values")
+        spark.catalog.dropTempView(view)
 
 
 def consistent(docs: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
@@ -102,8 +112,10 @@ def consistent(docs: DataFrame, fields: list[str], key: str = "id") -> DataFrame
 def found(docs: DataFrame, fields: list[str] = ["title", "page_document_number"], key: str = "id") -> DataFrame:  # noqa: B006
     """(field_name, id_a, id_b): rows of one class whose stored values differ."""
     several = variants(docs, fields, key).where("n_variants > 1").select("field_name", "value", "canonical")
-    rows = _values(docs, fields, key).join(several, ["field_name", "value"])
-    a, b = rows.alias("a"), rows.alias("b")
-    same = (F.col("a.field_name") == F.col("b.field_name")) & (F.col("a.canonical") == F.col("b.canonical"))
-    pairs = a.join(b, same & (F.col("a.id") < F.col("b.id")) & (F.col("a.value") != F.col("b.value")))
-    return pairs.select(F.col("a.field_name").alias("field_name"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    x, y = several.alias("x"), several.alias("y")
+    of_class = (F.col("x.field_name") == F.col("y.field_name")) & (F.col("x.canonical") == F.col("y.canonical")) & (F.col("x.value") < F.col("y.value"))
+    differ = x.join(y, of_class).select("x.field_name", F.col("x.value").alias("left"), F.col("y.value").alias("right"))  # so that rows of one value are never paired
+    rows = _values(docs, fields, key)
+    a, b = rows.select("field_name", F.col("value").alias("left"), F.col("id").alias("a")), rows.select("field_name", F.col("value").alias("right"), F.col("id").alias("b"))
+    pairs = differ.join(a, ["field_name", "left"]).join(b, ["field_name", "right"]).where("a <> b")
+    return pairs.select("field_name", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
