@@ -221,3 +221,82 @@ def test_one_document_at_a_time_gives_the_same():
     texts = [*GOOD, None, *BAD, ""]
     common = Q.Common(COMMON)
     assert Q.statistics(texts, common) == [Q.statistics([t], common)[0] for t in texts]
+
+
+def test_items_in_blocks_give_the_same(spark):
+    items = [(1, ITEM), (2, ENGLISH), (3, NUMBERS), (4, "短"), (5, None), (6, ITEM)]
+    docs = spark.createDataFrame(list(enumerate(leak_docs())), "doc_id bigint, text string")
+    held = spark.createDataFrame(items, "item_id bigint, item_text string")
+    pairs = lambda df: {(r.doc_id, r.item_id) for r in df.where("run_length > 0").collect()}
+    assert pairs(L.compare(docs, held, block_items=3)) == pairs(L.compare(docs, held)) != set()
+
+
+def test_slots_of_windows(spark):
+    def sides(text):
+        raw = L.stream(text)
+        return L.Sides(raw, *L.template(raw, L._automaton(["murlo"])), 20, 60)
+
+    changed = ENGLISH.replace("357", "911").replace("704", "5")
+    covered, slots, same, whole = L.slots_agree(sides(changed), sides(ENGLISH))
+    assert covered == 1.0 and (slots, same) == (4, 2) and 0 < whole < len(sides(ENGLISH).windows)
+    assert L.slots_agree(sides(ENGLISH), sides(ENGLISH))[3] == len(sides(ENGLISH).windows)
+    assert L.slots_agree(sides(""), sides(ENGLISH)) == L.slots_agree(sides(ENGLISH), sides("")) == (0.0, 0, 0, 0)
+
+
+def test_rules_of_quality_fail_one_by_one():
+    """Each rule by itself, on texts that pass the others that decide."""
+    common = Q.Common(["的", "应当", "有关部门", "été", "the", "of", "and"])
+    prose_ = "停车场的经营者应当按照的规定登记并公告的结果，的。"
+    reasons = lambda text: Q.statistics([text], common)[0][-1]
+    assert reasons("停车场的经营者应当登记的场地，并公告的结果。\n对的事项有关部门应当答复的，按期报送。") == []
+    assert reasons("\n".join([prose_ + "附件"] * 1 + [f"{prose_[:-1]}{i}" for i in "甲乙丙丁戊己庚辛"]))[:1] == ["few_line_ends"]
+    assert "bullets" in reasons("\n".join(f"• {prose_}" for _ in range(4))) and "few_words" in reasons("应当的。")
+    assert "symbols" in reasons(prose_ + "#@!&*~^%$" * 3) and "digits" in reasons(prose_ + "0123456789" * 2 + "。") and "few_common_words" in reasons("停车场经营者登记场地并公告结果。" * 3)
+    assert "repeated" in reasons(prose_ * 9) and "word_length" in reasons("the of and a i o u e. " * 5)
+    share = dict(zip([x.split()[0] for x in Q.SCHEMA.split(", ")][1:], Q.statistics(["有关部门 été 场地"], common)[0], strict=True))["common_word_share"]
+    assert abs(share - 5 / 7) < 1e-9  # four ideographs of one common word, and a word with accents
+
+
+def pairs_by_hand(docs, threshold=0.5):
+    """{(a, b): share} of all pairs from the threshold on, by one product of the runs that two texts or more hold."""
+    import numpy as np
+
+    sets = [runs_of(t) for _, _, t in docs]
+    count = {}
+    for s in sets:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    place = {x: i for i, x in enumerate(x for x, n in count.items() if n > 1)}
+    held = np.zeros((len(docs), len(place)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        held[i, [place[x] for x in s if x in place]] = 1
+    both, sizes = held @ held.T, np.array([len(s) for s in sets], dtype=np.float32)
+    share_ = both / (sizes[:, None] + sizes[None, :] - both)
+    a, b = np.nonzero(np.triu(share_ >= threshold, 1))
+    return {(docs[i][0], docs[j][0]): float(share_[i, j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+
+
+@pytest.mark.parametrize("size", [60, 1000])
+def test_near_copies_in_large_groups_near_the_threshold(spark, size):
+    base = prose(41, 330)
+    docs = [(i, None, edited(base, 7000 + i, 24 + i % 20) + prose(9000 + i, 14)) for i in range(size)]
+    want = pairs_by_hand(docs, 0.5)
+    near = {p for p, x in want.items() if x < 0.6}
+    got = {(r.id_a, r.id_b) for r in M.found(spark.createDataFrame(docs, "id bigint, title string, body_text string")).collect()}
+    assert not got - set(want) and len(near) > 0.3 * size * size / 2 / 2
+    assert len(near & got) >= 0.98 * len(near)
+
+
+def test_a_passage_that_a_third_of_all_texts_hold(spark):
+    """It is a third of each of them and makes no pairs; copies among them are found."""
+    common = prose(51, 55)
+    docs = [(i, None, (common if i % 3 == 0 else "") + prose(20_000 + i, 110)) for i in range(900)]
+    docs += [(1000 + i, None, edited(docs[i][2], i, 12)) for i in range(0, 60, 3)]
+    want = pairs_by_hand(docs)
+    assert {(r.id_a, r.id_b) for r in M.found(spark.createDataFrame(docs, "id bigint, title string, body_text string")).collect()} == set(want) and len(want) >= 20
+
+
+def test_pairs_of_one_key_in_blocks(spark):
+    rows = spark.createDataFrame([("k", i) for i in range(50)] + [("l", 1), ("m", 1), ("m", 2)], "key string, id bigint")
+    got = [(r.key, r.a, r.b) for r in M.pairs_within(rows, "key", "id", block=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {("k", i, j) for i, j in combinations(range(50), 2)} | {("m", 1, 2)}
