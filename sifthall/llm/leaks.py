@@ -126,32 +126,13 @@ def template(raw: np.ndarray, automaton) -> tuple[np.ndarray, np.ndarray]:
     return out[at], at
 
 
-def _item_windows(item_ids: list[int], texts: list[str], automaton, longest: int, width: int, least: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(kind, hash, item_id): kind 0 for template windows, 1 for raw runs that no template window is sure to find."""
-    rows, dense = set(), 0
-    for item_id, text in zip(item_ids, texts, strict=True):
-        raw = stream(text)
-        symbols, at = template(raw, automaton)
-        rows |= {(0, int(h), item_id) for h in windows(symbols, width)}
-        if len(raw) < least:
-            continue
-        stops = np.append(at, len(raw))
-        starts, ends = at[: len(at) - width + 1], stops[width:]
-        p = np.arange(len(raw) - least + 1)
-        first = np.searchsorted(starts, p + longest)
-        sure = (first < len(starts)) & (ends[np.minimum(first, max(len(ends) - 1, 0))] <= p + least - longest) if len(starts) else np.zeros(len(p), dtype=bool)
-        hashes = windows(raw, least)[~sure]
-        dense += len(hashes)
-        rows |= {(1, int(h), item_id) for h in hashes}
-    return sorted(rows), dense
-
-
 class Index:
     """Windows of a block of items by their hash, and a filter of them in front, sixteen bits a window or more."""
 
-    def __init__(self, rows: list[tuple[int, int]]):
-        self.hashes, self.items = (np.array([r[k] for r in sorted(rows)], dtype=np.int64) for k in (0, 1))
-        self.bits = max(16, int(np.ceil(np.log2(16 * max(len(rows), 1)))))
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.values = hashes[order], values[order]
+        self.bits = max(16, int(np.ceil(np.log2(16 * max(len(hashes), 1)))))
         self.filter = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
         at = self._places(self.hashes)
         np.bitwise_or.at(self.filter, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
@@ -160,12 +141,51 @@ class Index:
         return (hashes >> np.int64(7)) & np.int64((1 << self.bits) - 1)
 
     def met(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``hashes``, item) of all windows that are in the index."""
+        """(place in ``hashes``, value) of all windows that are in the index."""
         at = self._places(hashes)
         hit = np.flatnonzero(self.filter[at >> 3] >> (at & 7).astype(np.uint8) & 1)
         low, high = (np.searchsorted(self.hashes, hashes[hit], side=side) for side in ("left", "right"))
         n = high - low
-        return np.repeat(hit, n), self.items[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        return np.repeat(hit, n), self.values[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+
+class Block:
+    """A block of items: their streams and templates one after another, and indexes of template windows and of the raw runs that
+    no template window is sure to find."""
+
+    def __init__(self, item_ids: list[int], texts: list[str], width: int, least: int):
+        self.ids, self.names, self.width, self.least = np.array(item_ids, dtype=np.int64), names_of(texts), width, least
+        automaton, longest = _automaton(self.names), max(map(len, self.names), default=3)
+        self.raws = [stream(t) for t in texts]
+        forms = [template(raw, automaton) for raw in self.raws]
+        self.symbols = np.concatenate([f for f, _ in forms]) if forms else np.empty(0, dtype=np.uint32)
+        self.slots = np.concatenate([slot_hashes(raw, at) for raw, (_, at) in zip(self.raws, forms, strict=True)]) if forms else np.empty(0, dtype=np.int64)
+        self.ends = np.cumsum([len(f) for f, _ in forms])
+        self.n_windows = np.array([max(len(f) - width + 1, 0) for f, _ in forms])
+        keys = [windows(f, width) for f, _ in forms]
+        starts = self.ends - np.array([len(f) for f, _ in forms]) if forms else self.ends
+        self.templates = Index(np.concatenate(keys) if keys else np.empty(0, dtype=np.int64), np.concatenate([s + np.arange(len(k)) for s, k in zip(starts, keys, strict=True)]).astype(np.int64) if keys else np.empty(0, dtype=np.int64))
+        dense = [np.unique(windows(raw, least)[~_sure(raw, at, longest, width, least)]) if len(raw) >= least else np.empty(0, dtype=np.int64) for raw, (_, at) in zip(self.raws, forms, strict=True)]
+        self.dense = Index(np.concatenate(dense), np.repeat(np.arange(len(dense)), [len(d) for d in dense])) if any(map(len, dense)) else None
+
+    def item_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, places, side="right")
+
+
+def _sure(raw: np.ndarray, at: np.ndarray, longest: int, width: int, least: int) -> np.ndarray:
+    """Of each run of ``least`` characters, whether a whole template window in it depends on nothing around it."""
+    stops = np.append(at, len(raw))
+    starts, ends = at[: len(at) - width + 1], stops[width:]
+    p = np.arange(len(raw) - least + 1)
+    if not len(starts):
+        return np.zeros(len(p), dtype=bool)
+    first = np.searchsorted(starts, p + longest)
+    return (first < len(starts)) & (ends[np.minimum(first, len(ends) - 1)] <= p + least - longest)
+
+
+def slot_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of what each template symbol stands for."""
+    return span_hashes(prefix_sums(raw), at, np.append(at[1:], len(raw))) if len(at) else np.empty(0, dtype=np.int64)
 
 
 def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -180,76 +200,62 @@ def longest_run(a: np.ndarray, b: np.ndarray, least: int) -> int:
     return low
 
 
-class Sides:
-    """A text's raw stream and template, with what is compared of them worked out once."""
-
-    def __init__(self, raw: np.ndarray, symbols: np.ndarray, at: np.ndarray, width: int, least: int):
-        self.raw, self.symbols, self.width, self.least = raw, symbols, width, least
-        self.slots = span_hashes(prefix_sums(raw), at, np.append(at[1:], len(raw))) if len(at) else np.empty(0, dtype=np.int64)
-        self.windows = windows(symbols, width)
-        self.order = np.argsort(self.windows, kind="stable")
-        self.sorted = self.windows[self.order]
-        self._runs: np.ndarray | None = None
-
-    @property
-    def runs(self) -> np.ndarray:
-        if self._runs is None:
-            self._runs = np.sort(windows(self.raw, self.least))
-        return self._runs
-
-
-def slots_agree(a: Sides, b: Sides) -> tuple[float, int, int, int]:
-    """(share of b's template windows that a has, slots in them, slots that hold the same number, unit or name in both, windows
-    of which all slots do)."""
-    if not len(a.windows) or not len(b.windows):
-        return 0.0, 0, 0, 0
-    low, high = np.searchsorted(a.sorted, b.windows, side="left"), np.searchsorted(a.sorted, b.windows, side="right")
-    n = high - low
-    if not n.any():
-        return 0.0, 0, 0, 0
-    ib = np.repeat(np.arange(len(b.windows)), n)
-    ia = a.order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    seen, same, whole = np.zeros(len(b.symbols), dtype=bool), np.zeros(len(b.symbols), dtype=bool), np.ones(len(ia), dtype=bool)
-    for k in range(b.width):
-        y = ib + k
-        slot = b.symbols[y] >= NUMBER
-        if slot.any():
-            equal = a.slots[ia + k] == b.slots[y]
-            whole &= equal | ~slot
-            seen[y[slot]] = True
-            same[y[slot & equal]] = True
-    return float((n > 0).mean()), int(seen.sum()), int(same.sum()), int(whole.sum())
-
-
-def _compare(texts: dict[int, str], names: list[str], templates: Index, raws: Index | None, width: int, least: int) -> Callable:
+def slots_agree(symbols: np.ndarray, slots: np.ndarray, ends: np.ndarray, block: Block) -> dict[tuple[int, int], tuple[float, int, int, int]]:
+    """(text, item) -> (share of the item's template windows that the text has, slots in them, slots that hold the same number, unit
+    or name in both, windows of which all slots do), of all shared windows of many texts at once: ``symbols`` and ``slots`` of
+    the texts one after another, which end at ``ends``."""
+    here, there = block.templates.met(windows(symbols, block.width))
+    if not len(here):
+        return {}
+    texts, items = np.searchsorted(ends, here), block.item_of(there)
+    size, n_items = len(block.symbols), len(block.ids)
+    keys, pair = np.unique(texts * n_items + items, return_inverse=True)
+    whole, seen, same = np.ones(len(here), dtype=bool), [], []
+    for k in range(block.width):
+        slot = np.flatnonzero(block.symbols[there + k] >= NUMBER)
+        equal = slots[here[slot] + k] == block.slots[there[slot] + k]
+        whole[slot[~equal]] = False
+        place = pair[slot] * size + there[slot] + k
+        seen.append(np.unique(place))
+        same.append(np.unique(place[equal]))
+    count = lambda places: np.bincount(np.unique(places) // size, minlength=len(keys))
+    n_windows, n_seen, n_same, n_whole = count(pair * size + there), count(np.concatenate(seen)), count(np.concatenate(same)), np.bincount(pair[whole], minlength=len(keys))
+    covered = n_windows / np.maximum(block.n_windows[keys % n_items], 1)
+    return {(k // n_items, k % n_items): x for k, x in zip(keys.tolist(), zip(covered.tolist(), n_seen.tolist(), n_same.tolist(), n_whole.tolist(), strict=True), strict=True)}
+
+
+def _compare(block: Block) -> Callable:
     """(doc_id, item_id, run_length, covered, slots, slots_same) of documents with shared windows: whole batches are looked up at
-    once, and only documents that are met are cut out and compared."""
+    once, and only documents with a consistent window are compared character by character."""
+    least = block.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(names)
-        items: dict[int, Sides] = {}
+        automaton = _automaton(block.names)
+        runs_of_item: dict[int, np.ndarray] = {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, part in chunks(batch.column(1)):
                 raw = streams(part)
                 symbols, at = template(raw, automaton)
-                raw_ends, ends = np.flatnonzero(raw == BETWEEN), np.flatnonzero(symbols == BETWEEN)
-                met = set()
-                for index, line, stops, span in ((templates, symbols, ends, width), *([(raws, raw, raw_ends, least)] if raws else [])):
-                    places, found = index.met(windows(line, span))
-                    met.update(zip(np.searchsorted(stops, places).tolist(), found.tolist(), strict=True))
-                out, last, doc = [], -1, None
-                for k, item_id in sorted(met):
-                    if k != last:
-                        r0, s0 = (raw_ends[k - 1] + 1, ends[k - 1] + 1) if k else (0, 0)
-                        last, doc = k, Sides(raw[r0 : raw_ends[k]], symbols[s0 : ends[k]], at[s0 : ends[k]] - r0, width, least)
-                    if item_id not in items:
-                        b = stream(texts[item_id])
-                        items[item_id] = Sides(b, *template(b, automaton), width, least)
-                    item = items[item_id]
-                    covered, slots, same, consistent = slots_agree(doc, item)
-                    shared = bool(consistent or raws) and len(doc.runs) > 0 and len(item.runs) > 0 and bool((doc.runs[np.minimum(np.searchsorted(doc.runs, item.runs), len(doc.runs) - 1)] == item.runs).any())
-                    out.append((ids[first + k], item_id, longest_run(doc.raw, item.raw, least) if shared else 0, covered, slots, same))
+                raw_ends = np.flatnonzero(raw == BETWEEN)
+                pairs = slots_agree(symbols, slot_hashes(raw, at), np.flatnonzero(symbols == BETWEEN), block)
+                if block.dense:
+                    places, items = block.dense.met(windows(raw, least))
+                    for pair in set(zip(np.searchsorted(raw_ends, places).tolist(), items.tolist(), strict=True)):
+                        pairs[pair] = (*pairs.get(pair, (0.0, 0, 0, 0))[:3], 1)
+                out, last, own, runs = [], -1, raw[:0], np.empty(0, dtype=np.int64)
+                for (k, item), (covered, slots, same, consistent) in sorted(pairs.items()):
+                    length = 0
+                    if consistent:
+                        if k != last:
+                            last, own = k, raw[raw_ends[k - 1] + 1 if k else 0 : raw_ends[k]]
+                            runs = np.sort(windows(own, least))
+                        if item not in runs_of_item:
+                            runs_of_item[item] = windows(block.raws[item], least)
+                        theirs = runs_of_item[item]
+                        if len(runs) and len(theirs) and (runs[np.minimum(np.searchsorted(runs, theirs), len(runs) - 1)] == theirs).any():
+                            length = longest_run(own, block.raws[item], least)
+                    out.append((ids[first + k], int(block.ids[item]), length, covered, slots, same))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((),) * 6, kinds, strict=True)], names=["doc_id", "item_id", "run_length", "covered", "slots", "slots_same"])
 
@@ -265,11 +271,9 @@ def candidates(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least:
     held = items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").where("item_text <> ''").limit(max_items + 1).collect()
     if len(held) > max_items:
         raise ValueError(f"more than {max_items} items: give them in blocks")
-    names = names_of([r.item_text for r in held])
-    rows, dense = _item_windows([r.item_id for r in held], [r.item_text for r in held], _automaton(names), max(map(len, names), default=3), width, least)
-    templates, raws = (Index([(h, item) for kind, h, item in rows if kind == of]) for of in (0, 1))
+    block = Block([r.item_id for r in held], [r.item_text for r in held], width, least)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    return texts.mapInArrow(_compare({r.item_id: r.item_text for r in held}, names, templates, raws if dense else None, width, least), _PAIRS)
+    return texts.mapInArrow(_compare(block), _PAIRS)
 
 
 def compare(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, least: int = LEAST, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -289,7 +293,7 @@ def found(docs: DataFrame, items: DataFrame) -> DataFrame:
     return compare(docs, items).where("run_length > 0").select("doc_id", "item_id").distinct()
 
 
-def reparameterised(docs: DataFrame, items: DataFrame, *, least_covered: float = 0.8, least_slots: int = 1) -> DataFrame:
+def reparameterised(docs: DataFrame, items: DataFrame, *, least_covered: float = 0.5, least_slots: int = 1) -> DataFrame:
     """Documents that hold at least ``least_covered`` of an item's template, but with other numbers or names in its slots:
     (doc_id, item_id, slots, slots_same)."""
     pairs = compare(docs, items).distinct()

@@ -232,15 +232,21 @@ def test_items_in_blocks_give_the_same(spark):
 
 
 def test_slots_of_windows(spark):
-    def sides(text):
-        raw = L.stream(text)
-        return L.Sides(raw, *L.template(raw, L._automaton(["murlo"])), 20, 60)
-
-    changed = ENGLISH.replace("357", "911").replace("704", "5")
-    covered, slots, same, whole = L.slots_agree(sides(changed), sides(ENGLISH))
-    assert covered == 1.0 and (slots, same) == (4, 2) and 0 < whole < len(sides(ENGLISH).windows)
-    assert L.slots_agree(sides(ENGLISH), sides(ENGLISH))[3] == len(sides(ENGLISH).windows)
-    assert L.slots_agree(sides(""), sides(ENGLISH)) == L.slots_agree(sides(ENGLISH), sides("")) == (0.0, 0, 0, 0)
+    import numpy as np
+
+    block = L.Block([7, 8], [ENGLISH, ITEM], 20, 60)
+
+    def agree(*texts):
+        raw = L.streams(list(texts))
+        symbols, at = L.template(raw, L._automaton(block.names))
+        return L.slots_agree(symbols, L.slot_hashes(raw, at), np.flatnonzero(symbols == L.BETWEEN), block)
+
+    got = agree("", ENGLISH.replace("357", "911").replace("704", "5"), ENGLISH, ITEM)
+    assert set(got) == {(1, 0), (2, 0), (3, 1)}
+    covered, slots, same, whole = got[1, 0]
+    n = int(block.n_windows[0])
+    assert covered == 1.0 and slots - same == 2 and 0 < whole < n
+    assert got[2, 0][0] == 1.0 and got[2, 0][1] == got[2, 0][2] and got[2, 0][3] == n and agree("", "短") == {}
 
 
 def test_rules_of_quality_fail_one_by_one():
