@@ -178,6 +178,11 @@ def fingerprint(*fields: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(strip(f.cast("string")), F.lit("")) for f in fields]), 256)
 
 
+def content_hash(**fields: Column) -> Column:
+    """sha256 of the fields as one JSON object with its keys in order; null is a value of its own."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].cast("string").alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
 def stable_identity(target: Column, record_id: Column, url: Column) -> Column:
     """``target|id:…``, else ``target|url:…``, else null."""
     ident, address = blank_to_null(strip(record_id.cast("string"))), blank_to_null(strip(url))

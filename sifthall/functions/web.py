@@ -138,14 +138,16 @@ def response_for(responses: Column, *urls: Column) -> Column:
     return F.coalesce(*[last_of(u) for u in urls], F.try_element_at(responses, F.lit(-1))["status"])
 
 
-def walk_redirects(hops: Column, most: int = 6) -> Column:
+def walk_redirects(hops: Column, most: int = 6, check: bool = False) -> Column:
     """struct(chain, end) over hops (struct url, status, location): the addresses up to the first answer that is no
-    redirect, and ``ok``, ``redirect_without_location`` or ``too_many_redirects``."""
+    redirect, and ``ok``, ``redirect_without_location`` or ``too_many_redirects``. With ``check`` each hop must be an allowed
+    address, or the walk ends with ``blocked_target``."""
     start = F.struct(F.array().cast("array<string>").alias("chain"), F.lit("").alias("end"))
 
     def step(state: Column, hop: Column) -> Column:
         redirect = hop["status"].between(300, 399)
-        end = F.when(~redirect, "ok").when(F.coalesce(hop["location"], F.lit("")) == "", "redirect_without_location").otherwise("")
+        blocked = ~allowed(hop["url"]) if check else F.lit(False)
+        end = F.when(blocked, "blocked_target").when(~redirect, "ok").when(F.coalesce(hop["location"], F.lit("")) == "", "redirect_without_location").otherwise("")
         done = state["end"] != ""
         return F.struct(F.when(done, state["chain"]).otherwise(F.array_append(state["chain"], hop["url"])).alias("chain"), F.when(done, state["end"]).otherwise(end).alias("end"))
 

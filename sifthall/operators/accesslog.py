@@ -84,3 +84,16 @@ def counters(log: DataFrame) -> DataFrame:
 def backoff(attempt: Column) -> Column:
     """struct(least, most) seconds to wait before a retry; null beyond the last."""
     return F.when(attempt == 1, F.struct(F.lit(30).alias("least"), F.lit(60).alias("most"))).when(attempt == 2, F.struct(F.lit(120).alias("least"), F.lit(300).alias("most")))
+
+
+def cooling(log: DataFrame, alarm: int = 3, seconds: int = 1800) -> DataFrame:
+    """(event_id, run_id, length, until_us) of each access that makes a run cool down: the ``alarm``-th failure in a row or a later
+    one, and the time until which nothing more is asked for."""
+    return failure_runs(log, alarm).join(log.select("event_id", _micros(F.col("ts")).alias("at")), "event_id").select("event_id", "run_id", "length", (F.col("at") + seconds * 1_000_000).alias("until_us"))
+
+
+def retries(log: DataFrame, most: int = 2) -> DataFrame:
+    """(event_id, run_id, attempt, least, most) of failures that are tried again, with the seconds to wait first."""
+    failed = failure_runs(log, 1).where(F.col("length") <= most)
+    wait = backoff(F.col("length"))
+    return failed.select("event_id", "run_id", F.col("length").alias("attempt"), wait["least"].cast("bigint").alias("least"), wait["most"].cast("bigint").alias("most"))

@@ -296,3 +296,59 @@ def wrong_hosts(rows: DataFrame, key: str, url: str, id_: str = "id") -> DataFra
     each = rows.where(F.col(url).isNotNull() & F.col(key).isNotNull()).select(F.col(id_).alias("id"), F.col(key).alias("key"), web.host(F.col(url)).alias("host"))
     common = each.where("host IS NOT NULL").groupBy("key", "host").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("host", F.struct("n", "host")).alias("expected"))
     return each.join(broadcast_if_small(common, R.SMALL), "key").where(~F.col("host").eqNullSafe(F.col("expected"))).select("id", "host", "expected")
+
+
+# --- records, counters, contracts ---------------------------------------------------------------------------------
+
+
+def opened(items: DataFrame, details: DataFrame, n: int | None = None) -> DataFrame:
+    """Entries with the detail page of their address, as results: blank columns of a page are filled from its entry, and where there is no
+    page the entry stays, to be reviewed. ``n`` takes the first entries by page and place only."""
+    d = details.select(F.col("url").alias("d_url"), F.col("id").alias("d_id"), F.col("title").alias("d_title"), "issuing_agency", "page_document_number", "published_date", "authored_date", "district").dropDuplicates(["d_url"])
+    rows = items.where("url IS NOT NULL").select("id", "job_id", "target_key", "url", "title", "source_label", "page_number", "item_index")
+    if n is not None:
+        rows = rows.orderBy("page_number", "item_index", "id").limit(n)
+    joined = rows.join(d, F.col("url") == F.col("d_url"), "left")
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    lacks = (blank("issuing_agency") == "") | F.col("published_date").isNull()
+    outcome = F.when(F.col("d_id").isNull(), "exception").when(lacks, "review_required").otherwise("checked_complete")
+    return joined.select("id", F.col("d_id").alias("document_id"), F.coalesce(F.nullif("d_title", F.lit("")), "title").alias("title"), F.coalesce(F.nullif("district", F.lit("")), "source_label").alias("source"), blank("issuing_agency").alias("agency"), blank("page_document_number").alias("number"), "published_date", "authored_date", outcome.alias("outcome"))
+
+
+def counters(items: DataFrame, findings: DataFrame) -> DataFrame:
+    """(job_id, examined, processed, skipped, exceptions, findings) of each job, from its rows: nothing is counted up anywhere."""
+    work = generation_items(items).groupBy("job_id").agg(F.count(F.lit(1)).alias("examined"), F.count_if(F.col("detail_status").isin(*PERFORMED)).alias("processed"), F.count_if(F.col("state") == "reused").alias("skipped"), F.count_if(F.col("state") == "review").alias("exceptions"))
+    found = findings.where("job_id IS NOT NULL").groupBy("job_id").agg(F.countDistinct("id").alias("findings"))
+    return work.join(found, "job_id", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
+
+
+def batches(headers: DataFrame, size: int) -> DataFrame:
+    """(job_id, n_batches, in_last, state) of each job in batches of ``size`` entries: partial while entries are left after the first."""
+    n = headers.groupBy("job_id").agg(F.sum("discovered").alias("n"))
+    return n.select("job_id", F.ceil(F.col("n") / size).cast("bigint").alias("n_batches"), (F.col("n") - (F.ceil(F.col("n") / size) - 1) * size).cast("bigint").alias("in_last"), F.when(F.col("n") > size, "partial").otherwise("completed").alias("state"))
+
+
+def contracts(jobs: DataFrame, items: DataFrame, current: int) -> DataFrame:
+    """(id, version, may_resume, may_be_baseline) of each job: rows written under an older contract than the current one can neither
+    be gone on with nor reused. A job without rows has no contract to break."""
+    v = items.groupBy(F.col("job_id").alias("id")).agg(F.min(F.coalesce("link_check_version", F.lit(0))).alias("version"))
+    now = F.coalesce(F.col("version") >= current, F.lit(True))
+    joined = jobs.select("id", "status", "mode").join(v, "id", "left")
+    return joined.select("id", "version", (now & F.col("status").isin(*RESUMABLE)).alias("may_resume"), (now & F.col("version").isNotNull() & (F.col("status") == "completed") & (F.col("mode") == "full")).alias("may_be_baseline"))
+
+
+def concurrency(jobs: DataFrame) -> DataFrame:
+    """(id, n_running, n_of_site) at the start of each job, itself included: sums over starts and ends in order of time. Jobs have
+    one row per run."""
+    timed = jobs.where("started_at IS NOT NULL AND finished_at IS NOT NULL AND finished_at >= started_at").select("id", signature(F.col("source_signature")).alias("signature"), "started_at", "finished_at")
+    moves = timed.select("id", "signature", F.col("started_at").alias("t"), F.lit(1).alias("move")).unionByName(timed.select("id", "signature", F.col("finished_at").alias("t"), F.lit(-1).alias("move")))
+    order = [F.col("t"), F.col("move"), F.col("id")]  # an end frees its place before a start at the same time
+    upto = lambda w: F.sum("move").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
+    placed = moves.withColumn("day", F.lit(0))
+    return placed.select("id", "move", upto(Window.partitionBy("day")).alias("n_running"), upto(Window.partitionBy("signature")).alias("n_of_site")).where("move = 1").drop("move")
+
+
+def last_seen(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, first_seen_job_id, last_seen_job_id) of documents after the jobs that listed them: the first stays, the last only moves on."""
+    seen = items.select("job_id", R.effective_document().alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.max("job_id").alias("seen"))
+    return docs.select("id", "first_seen_job_id", "last_seen_job_id").join(seen, "id", "left").select("id", "first_seen_job_id", F.greatest("last_seen_job_id", "seen").alias("last_seen_job_id"))

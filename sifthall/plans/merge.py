@@ -52,6 +52,12 @@ def patched(df: DataFrame, where: Column, values: dict[str, Column]) -> DataFram
     return df.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items() if c in df.columns})
 
 
+def conformed(df: DataFrame, columns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` with ``columns`` (name: type, value where it is missing or null) added or filled: running it again changes nothing."""
+    have = set(df.columns)
+    return df.withColumns({c: F.coalesce(F.col(c).cast(t), v.cast(t)) if c in have else v.cast(t) for c, (t, v) in columns.items()})
+
+
 def positions_marked(items: DataFrame, place: list[str], id_: str = "id", index: str = "item_index") -> DataFrame:
     """``items`` where a place that several rows claim stays the newest row's; the others move to minus their id."""
     newest = items.groupBy(*place).agg(F.max(id_).alias("__newest"))

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifthall.functions import text as T
-from sifthall.functions import web
-from sifthall.functions import workdays as W
-from sifthall.operators import relational as R
+from sifthall.operators import accesslog as A
 from sifthall.operators import report
 from sifthall.operators import runs as J
 from sifthall.registry import _GAP, _NUMBER, _NUMBERED, _SPACE, big, days, query
@@ -298,3 +296,86 @@ s AS (SELECT source, sum(terminal)::BIGINT AS examined, sum(total)::BIGINT AS to
 SELECT s.source, coalesce(category, '{report.NO_ISSUE}') AS category, coalesce(n, 0) AS n, examined, total, greatest(total - examined, 0) AS remaining FROM s LEFT JOIN c ON s.source = c.source ORDER BY 1, 2""")
 def sheet_summary(jobs: DataFrame, items: DataFrame, findings: DataFrame, docs: DataFrame) -> DataFrame:
     return report.sheet_summary(items, J.generations(items), findings, docs)
+
+
+# --- records, counters, contracts ---------------------------------------------------------------------------------
+
+_D = "d AS (SELECT * FROM policy_documents QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1)"
+
+
+@query("scan_item_results", "policy_documents", sql=f"WITH {_D} SELECT r.id, d.id AS document_id, coalesce(nullif(d.title, ''), r.title) AS title, coalesce(nullif(d.district, ''), source_label) AS source, coalesce(d.issuing_agency, '') AS agency, coalesce(d.page_document_number, '') AS number, d.published_date, d.authored_date, CASE WHEN d.id IS NULL THEN 'exception' WHEN coalesce(d.issuing_agency, '') = '' OR d.published_date IS NULL THEN 'review_required' ELSE 'checked_complete' END AS outcome FROM scan_item_results r LEFT JOIN d ON d.url = r.url WHERE r.url IS NOT NULL")
+def opened_details(items: DataFrame, docs: DataFrame) -> DataFrame:
+    return J.opened(items, docs)
+
+
+@query("scan_item_results", "rule_findings", sql=f"WITH {_G}, w AS (SELECT job_id, count(*) AS examined, count(*) FILTER (detail_status IN ('checked_complete', 'checked_incomplete', 'no_header')) AS processed, count(*) FILTER (state = 'reused') AS skipped, count(*) FILTER (state = 'review') AS exceptions FROM g GROUP BY 1), f AS (SELECT job_id, count(DISTINCT id) AS findings FROM rule_findings GROUP BY 1) SELECT w.*, coalesce(findings, 0) AS findings FROM w LEFT JOIN f ON f.job_id = w.job_id")
+def job_counters(items: DataFrame, findings: DataFrame) -> DataFrame:
+    return J.counters(items, findings)
+
+
+@query("scan_item_results", sql=f"WITH {_G}, n AS (SELECT job_id, sum(discovered)::BIGINT AS n FROM h GROUP BY 1) SELECT job_id, (n + 9) // 10 AS n_batches, n - ((n + 9) // 10 - 1) * 10 AS in_last, CASE WHEN n > 10 THEN 'partial' ELSE 'completed' END AS state FROM n")
+def batch_limits(items: DataFrame) -> DataFrame:
+    return J.batches(J.generations(items), 10)
+
+
+@query("scan_jobs", "scan_item_results", sql="WITH v AS (SELECT job_id, CAST(min(coalesce(link_check_version, 0)) AS BIGINT) AS version FROM scan_item_results GROUP BY 1) SELECT id, version, coalesce(version >= 2, TRUE) AND status IN ('pending', 'running', 'cooling', 'paused', 'partial', 'failed') AS may_resume, coalesce(version >= 2, FALSE) AND status = 'completed' AND mode = 'full' AS may_be_baseline FROM scan_jobs LEFT JOIN v ON v.job_id = id")
+def contract_gate(jobs: DataFrame, items: DataFrame) -> DataFrame:
+    return big(J.contracts(jobs, items, 2))
+
+
+@query("scan_jobs", sql=f"WITH t AS (SELECT id, {_SIG} AS signature, started_at AS s, finished_at AS f FROM scan_jobs WHERE started_at IS NOT NULL AND finished_at >= started_at) SELECT a.id, count(*) AS n_running, count(*) FILTER (b.signature = a.signature) AS n_of_site FROM t a JOIN t b ON (b.s < a.s OR (b.s = a.s AND b.id <= a.id)) AND b.f > a.s OR b.id = a.id GROUP BY 1")
+def job_concurrency(jobs: DataFrame) -> DataFrame:
+    return J.concurrency(jobs)
+
+
+@query("policy_documents", "scan_item_results", sql="WITH s AS (SELECT coalesce(nullif(document_id, 0), nullif(reused_document_id, 0)) AS id, max(job_id) AS seen FROM scan_item_results GROUP BY 1) SELECT d.id, first_seen_job_id, greatest(last_seen_job_id, seen) AS last_seen_job_id FROM policy_documents d LEFT JOIN s ON s.id = d.id")
+def last_seen_jobs(docs: DataFrame, items: DataFrame) -> DataFrame:
+    return J.last_seen(docs, items)
+
+
+@query("policy_documents", sql="SELECT id, sha256(CAST(json_object('agency', issuing_agency, 'authored', CAST(authored_date AS VARCHAR), 'district', district, 'published', CAST(published_date AS VARCHAR), 'url', url) AS VARCHAR)) AS hash FROM policy_documents")
+def content_hashes(docs: DataFrame) -> DataFrame:
+    return docs.select("id", T.content_hash(agency=F.col("issuing_agency"), url=F.col("url"), district=F.col("district"), published=F.col("published_date"), authored=F.col("authored_date")).alias("hash"))
+
+
+@query("scan_jobs", sql="SELECT id, CASE WHEN status = 'completed' AND coverage_status <> 'complete' THEN 'partial' ELSE status END AS status, 0::BIGINT AS resumed_count, coalesce(pause_reason, '') AS pause_reason FROM scan_jobs")
+def migrated_jobs(jobs: DataFrame) -> DataFrame:
+    """Jobs in the current form: columns that older ones lack, and those that count as completed without being complete repaired."""
+    from sifthall.plans.merge import conformed, patched
+
+    form = {"resumed_count": ("bigint", F.lit(0)), "pause_reason": ("string", F.lit(""))}
+    repaired = patched(conformed(conformed(jobs, form), form), (F.col("status") == "completed") & (F.col("coverage_status") != "complete"), {"status": F.lit("partial")})
+    return repaired.select("id", "status", "resumed_count", "pause_reason")
+
+
+@query("scan_item_results", "scan_jobs", sql="WITH t AS (SELECT target_key, min(source_label) AS label FROM scan_item_results WHERE target_key IS NOT NULL GROUP BY 1), n AS (SELECT target_key AS name, target_key, 0 AS level FROM t UNION ALL SELECT label, target_key, 1 FROM t UNION ALL SELECT split_part(label, '-', 1), target_key, 2 FROM t), m AS (SELECT name, arg_min(target_key, (level, target_key)) AS target_key FROM n WHERE name <> '' GROUP BY 1), v AS (SELECT DISTINCT unnest(source_signature) AS value FROM scan_jobs UNION SELECT DISTINCT source_label FROM scan_item_results UNION SELECT DISTINCT split_part(source_label, '-', 1) FROM scan_item_results UNION SELECT 'nowhere') SELECT value, m.target_key FROM v LEFT JOIN m ON m.name = v.value")
+def resolved_targets(items: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What a value of a selection means: a target's key, else its label, else its district, for which the first target stands."""
+    from sifthall.operators import inventory
+
+    district = lambda c: F.substring_index(c, "-", 1)
+    targets = items.where("target_key IS NOT NULL").groupBy("target_key").agg(F.min("source_label").alias("label"))
+    names = inventory.synonyms(targets, "target_key", [F.array("target_key"), F.array("label"), F.array(district("label"))])
+    values = jobs.select(F.explode("source_signature").alias("value")).union(items.select("source_label")).union(items.select(district("source_label"))).union(jobs.sparkSession.range(1).select(F.lit("nowhere"))).distinct()
+    return inventory.resolved(values, "value", names, "target_key")
+
+
+@query("scan_item_results", sql=f"WITH {_G} SELECT split_part(l.label, '-', 1) AS district, h.job_id, CAST(sum(observed) AS BIGINT) AS declared, CAST(sum(discovered) AS BIGINT) AS observed, sum(observed) <> sum(discovered) AS differs FROM h JOIN (SELECT target_key, min(source_label) AS label FROM scan_item_results GROUP BY 1) l ON l.target_key = h.target_key GROUP BY 1, 2")
+def declared_totals(items: DataFrame) -> DataFrame:
+    """What the lists of a district showed and what is known of them, by job."""
+    labels = items.groupBy("target_key").agg(F.substring_index(F.min("source_label"), "-", 1).alias("district"))
+    sums = J.generations(items).join(labels, "target_key").groupBy("district", "job_id").agg(F.sum("observed").alias("declared"), F.sum("discovered").alias("observed"))
+    return sums.withColumn("differs", F.col("declared") != F.col("observed"))
+
+
+_FAILS = "WITH l AS (SELECT user_id AS run_id, event_id, ts, event_type = 'error' AS failed FROM events), r AS (SELECT event_id, run_id, ts, row_number() OVER (PARTITION BY run_id, failed, island ORDER BY ts, event_id) AS length, failed FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY run_id, failed ORDER BY ts, event_id) AS island FROM l)) "
+
+
+@query("events", sql=_FAILS + "SELECT event_id, run_id, length AS attempt, CASE length WHEN 1 THEN 30 ELSE 120 END::BIGINT AS least, CASE length WHEN 1 THEN 60 ELSE 300 END::BIGINT AS most FROM r WHERE failed AND length <= 2")
+def retry_waits(events: DataFrame) -> DataFrame:
+    return A.retries(A.accesses(events))
+
+
+@query("events", sql=_FAILS + "SELECT event_id, run_id, length, epoch_us(ts) + 1800000000 AS until_us FROM r WHERE failed AND length >= 2")
+def cooling_times(events: DataFrame) -> DataFrame:
+    return A.cooling(A.accesses(events), 2)
