@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sifthall.plans.stage import broadcast_if_small
+from sifthall.plans.stage import broadcast_if_small, stage
 
 #: Leading and trailing white space of any kind, for trimming as text libraries do.
 _ENDS = r"(?U)^[\s\u001c-\u001f]+|[\s\u001c-\u001f]+$"
@@ -55,6 +55,7 @@ def changes(records: DataFrame, jobs: DataFrame, key: list[str], value: list[Col
     chain = broadcast_if_small(consecutive(jobs), max_jobs)
     keyed = records.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).select("job_id", *key, row_hash(*value).alias("value"), F.struct(*[x.alias(f"o{i}") for i, x in enumerate(latest)]).alias("latest"))
     one = keyed.join(chain, "job_id").groupBy("job_id", *key).agg(F.max_by("value", "latest").alias("value"), F.first("previous_job_id").alias("previous_job_id"), F.first("next_job_id").alias("next_job_id"))
+    one = stage(one, "snapshot-rows", release=True)  # both sides of the join read it; keys and hashes only
     now = one.where("previous_job_id IS NOT NULL").select("job_id", *key, F.col("value").alias("now"))
     before = one.where("next_job_id IS NOT NULL").select(F.col("next_job_id").alias("job_id"), *key, F.col("value").alias("before"))
     both = now.join(before, ["job_id", *key], "full_outer")
