@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 DOCUMENT_NUMBER = r"([\u4e00-\u9fff]{1,12}(?:办|发|规|字|令)?)\s*[〔\[【(（]\s*((?:20|19)\d{2})\s*[〕\]】)）]\s*(\d{1,4})\s*号"
 CONNECTIVE = "^(?:另见|参见|以及|及|见|根据|依据|文件)"
 FULL_DATE = r"((?:19|20)\d{2})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})\s*日?"
+ISO_DATE = r"(?:19|20)\d{2}-\d{1,2}-\d{1,2}"
+LONG_DATE = r"((?:19|20)\d{2})(?U:\s)*年(?U:\s)*(\d{1,2})(?U:\s)*月(?U:\s)*(\d{1,2})(?U:\s)*日"
 NOT_A_SIGNATURE = ("有效期", "有效期限", "起施行", "施行日期", "执行日期", "废止")
 SIGNING_BODIES = ("人民政府", "委员会", "办公室", "管理局", "监管局", "局", "中心", "部门")
 HEADER_LABELS = ("索引号", "主题分类", "公开属性", "成文日期", "发文字号", "发布日期", "公开主体")
@@ -88,14 +90,13 @@ def document_numbers(text: Column) -> Column:
 
 def iso_date(text: Column) -> Column:
     """The first yyyy-m-d of a text if it is a real date in yyyy-mm-dd; later matches are not tried."""
-    found = F.regexp_extract(text, r"(?:19|20)\d{2}-\d{1,2}-\d{1,2}", 0)
+    found = F.regexp_extract(text, ISO_DATE, 0)
     return F.when(F.length(found) == 10, F.try_to_date(found, "yyyy-MM-dd"))
 
 
 def any_date(text: Column) -> Column:
     """As iso_date, else the first yyyy年m月d日."""
-    pattern = r"((?:19|20)\d{2})(?U:\s)*年(?U:\s)*(\d{1,2})(?U:\s)*月(?U:\s)*(\d{1,2})(?U:\s)*日"
-    part = lambda k: F.regexp_extract(text, pattern, k)
+    part = lambda k: F.regexp_extract(text, LONG_DATE, k)
     return F.coalesce(iso_date(text), F.try_to_date(F.concat_ws("-", part(1), part(2), part(3)), "yyyy-M-d"))
 
 

@@ -7,7 +7,10 @@ opens, behind a check of the row limit of that format.
 
 from __future__ import annotations
 
+import re
 import zipfile
+from datetime import date, datetime
+from itertools import chain, islice
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -16,11 +19,13 @@ from pyspark.sql import functions as F
 from sifthall.functions import text as T
 from sifthall.functions import workdays as W
 from sifthall.operators import relational as R
+from sifthall.operators import runs as J
 
 # The sheets of a report, in order.
 SHEETS = ("问题汇总", "超期与日期问题", "文号与机构问题", "外链问题", "全量明细", "元数据问题", "扫描运行记录")
 NO_ISSUE = "无已发现问题"
 ROWS_OF_XLSX = 1_048_575
+_UNWRITABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
 def header_state() -> Column:
@@ -139,10 +144,11 @@ def run_record(jobs: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def report(job_id: int, jobs: DataFrame, items: DataFrame, findings: DataFrame, links: DataFrame, docs: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
+    """The seven sheets of one job, in order."""
     of = lambda df: df.where(F.col("job_id") == job_id)
-    i, f, k = of(items), of(findings), of(links)
-    others = R.findings_with_documents(f.where("category IN ('文号问题', '机构问题')"), docs)
-    tables = (summary(jobs, i, f, docs), date_issues(f, docs, days), others, R.link_problems(k, docs), full_detail(i, f), R.metadata_issues(i), run_record(jobs.where(F.col("id") == job_id), f))
+    i, f, own = of(items), of(findings), jobs.where(F.col("id") == job_id)
+    headers = J.generations(i)
+    tables = (sheet_summary(i, headers, f, docs), sheet_dates(f, docs), sheet_numbers(f, docs), sheet_links(of(links), docs), sheet_detail(i, f, days), sheet_metadata(i), sheet_runs(own, J.progress(own, headers), f))
     return dict(zip(SHEETS, tables, strict=True))
 
 
@@ -164,39 +170,77 @@ def write_sheets(sheets: dict[str, DataFrame], path: str, format: str = "parquet
         (writer.option("header", True).csv if format == "csv" else writer.parquet)(f"{path}/{name}")
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """One .xlsx file: a header row that stays in view, a filter, and cells as text."""
+#: Sheets whose rows are marked, since each is a problem.
+ALERTS = (SHEETS[1], SHEETS[2], SHEETS[3], SHEETS[5])
+_STYLES = (
+    '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts count="2"><font/><font><b/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>'
+    '<fill><patternFill patternType="solid"><fgColor rgb="FFFFE8CC"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="5"><xf/><xf fontId="1" applyFont="1"/>'
+    '<xf numFmtId="14" applyNumberFormat="1"/><xf fillId="2" applyFill="1"/><xf numFmtId="14" fillId="2" applyNumberFormat="1" applyFill="1"/></cellXfs></styleSheet>'
+)
+_HEADER, _DATE, _ALERT, _ALERT_DATE = 1, 2, 3, 4
+
+
+def width_of(values: list, name: str) -> int:
+    """Width of a column from its name and first values: the longest plus 2, from 10 to 48."""
+    return min(max(max([len(name), *(len(str(v)) for v in values if v is not None)]) + 2, 10), 48)
 
-    def column(k: int) -> str:
-        name = ""
-        while k >= 0:
-            name, k = chr(65 + k % 26) + name, k // 26 - 1
-        return name
 
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """One .xlsx file: a header row that stays in view, a filter, widths by the first hundred rows, dates as dates, addresses as
+    links, and marked rows on sheets of problems. Rows are written as they come; none is kept but the first hundred."""
     content, relations, listed = [], [], []
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
         for at, (name, sheet) in enumerate(sheets.items(), 1):
             if sheet.limit(ROWS_OF_XLSX + 1).count() > ROWS_OF_XLSX:
                 raise ValueError(f"{name} has more rows than a sheet can hold; use write_sheets")
+            columns, alert = sheet.columns, name in ALERTS
+            rows = iter(sheet.toLocalIterator())
+            first = [tuple(r) for r in islice(rows, 100)]
+            widths = "".join(f'<col min="{k}" max="{k}" width="{width_of([r[k - 1] for r in first], c)}" customWidth="1"/>' for k, c in enumerate(columns, 1))
             with book.open(f"xl/worksheets/sheet{at}.xml", "w") as out:
-                out.write(b'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><sheetData>')
+                out.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><cols>{widths}</cols><sheetData>'.encode())
+                out.write(_row(tuple(columns), 1, _HEADER, _HEADER))
                 n = 1
-                for row in [tuple(sheet.columns), *()]:
-                    out.write(_row(row, n, column))
-                for row in sheet.toLocalIterator():
+                for row in chain(first, rows):
                     n += 1
-                    out.write(_row(tuple(row), n, column))
-                out.write(f'</sheetData><autoFilter ref="A1:{column(len(sheet.columns) - 1)}{n}"/></worksheet>'.encode())
-            content.append(f'<Override PartName="/xl/worksheets/sheet{at}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>')
-            relations.append(f'<Relationship Id="rId{at}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{at}.xml"/>')
+                    out.write(_row(tuple(row), n, _ALERT if alert else 0, _ALERT_DATE if alert else _DATE))
+                out.write(f'</sheetData><autoFilter ref="A1:{_letters(len(columns) - 1)}{n}"/></worksheet>'.encode())
+            content.append(f'<Override PartName="/xl/worksheets/sheet{at}.xml" ContentType="{_TYPE}.worksheet+xml"/>')
+            relations.append(f'<Relationship Id="rId{at}" Type="{_RELATION}/worksheet" Target="worksheets/sheet{at}.xml"/>')
             listed.append(f'<sheet name="{escape(name)}" sheetId="{at}" r:id="rId{at}"/>')
-        head = '<?xml version="1.0" encoding="UTF-8"?>'
-        book.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{"".join(content)}</Types>')
-        book.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(relations)}</Relationships>')
-        book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{"".join(listed)}</sheets></workbook>')
-
-
-def _row(values: tuple, n: int, column) -> bytes:
-    cells = "".join(f'<c r="{column(k)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for k, v in enumerate(values))
-    return f'<row r="{n}">{cells}</row>'.encode()
+        head, packed = '<?xml version="1.0" encoding="UTF-8"?>', "http://schemas.openxmlformats.org/package/2006"
+        book.writestr("[Content_Types].xml", f'{head}<Types xmlns="{packed}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{_TYPE}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{_TYPE}.styles+xml"/>{"".join(content)}</Types>')
+        book.writestr("_rels/.rels", f'{head}<Relationships xmlns="{packed}/relationships"><Relationship Id="rId1" Type="{_RELATION}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{packed}/relationships"><Relationship Id="rIdS" Type="{_RELATION}/styles" Target="styles.xml"/>{"".join(relations)}</Relationships>')
+        book.writestr("xl/styles.xml", head + _STYLES)
+        book.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{_MAIN}" xmlns:r="{_RELATION}"><sheets>{"".join(listed)}</sheets></workbook>')
+
+
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_RELATION = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+
+
+def _letters(k: int) -> str:
+    name = ""
+    while k >= 0:
+        name, k = chr(65 + k % 26) + name, k // 26 - 1
+    return name
+
+
+def _cell(value, place: str, style: int, date_style: int) -> str:
+    if isinstance(value, bool) or value is None or isinstance(value, (list, tuple, dict)):
+        value = "" if value is None else str(value)
+    if isinstance(value, (int, float)):
+        return f'<c r="{place}" s="{style}"><v>{value}</v></c>'
+    if isinstance(value, date) and not isinstance(value, datetime):
+        return f'<c r="{place}" s="{date_style}"><v>{(value - date(1899, 12, 30)).days}</v></c>'
+    text = _UNWRITABLE.sub("", str(value))[:32_767]  # as much as a cell of this format can hold
+    if text.startswith(("http://", "https://")) and len(text) <= 255:
+        quoted = text.replace('"', '""')
+        return f'<c r="{place}" s="{style}" t="str"><f>HYPERLINK("{escape(quoted)}")</f><v>{escape(text)}</v></c>'
+    return f'<c r="{place}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+
+def _row(values: tuple, n: int, style: int, date_style: int) -> bytes:
+    return f'<row r="{n}">{"".join(_cell(v, f"{_letters(k)}{n}", style, date_style) for k, v in enumerate(values))}</row>'.encode()

@@ -113,10 +113,14 @@ def is_list_response(url: Column, request: Column, path: str, site: str) -> Colu
     return F.coalesce(F.endswith(F.try_parse_url(url, F.lit("PATH")), F.lit(path)) & (asked == F.array(F.lit(site))), F.lit(False))
 
 
+# What a detail page says once its metadata is there: its date, and its body by one of two names.
+READY, READY_BODY = "发布日期", ("发文单位", "发布机构")
+
+
 def is_ready(text: Column) -> Column:
     """Whether a detail page has come with its metadata."""
     has = lambda word: F.contains(text, F.lit(word))
-    return F.coalesce(has("发布日期") & (has("发文单位") | has("发布机构")), F.lit(False))
+    return F.coalesce(has(READY) & (has(READY_BODY[0]) | has(READY_BODY[1])), F.lit(False))
 
 
 def head_pages(items: DataFrame, n: int = 2) -> DataFrame:

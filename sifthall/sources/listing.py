@@ -3,7 +3,8 @@
     spark.dataSource.register(CapturedLists)
     spark.read.format("captured_lists").option("path", folder).load().where("channel_id = '3'")
 
-The folder has one sub-folder per channel and one JSON file per page, named by its number. Each channel is a partition of
+The folder is one that every worker can open by its path (a mounted share; for object stores use ``captures.read_captures``). It has
+one sub-folder per channel and one JSON file per page, named by its number. Each channel is a partition of
 the read; an equality on the channel is pushed down and leaves out the other folders before anything is opened.
 """
 

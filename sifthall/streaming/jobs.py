@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,15 +45,14 @@ def failure_alarms(stream: DataFrame, alarm: int = 3) -> DataFrame:
     put in order of time; a success resets the count."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        length = state.get[0] if state.exists else 0
+        before = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, failed in zip(rows["event_id"], rows["failed"], strict=True):
-            length = length + 1 if failed else 0
-            if length >= alarm:
-                out.append((key[0], event_id, length))
-        state.update((length,))
-        yield pd.DataFrame(out, columns=["run_id", "event_id", "length"])
+        failed, at = rows["failed"].to_numpy(dtype=bool), np.arange(len(rows))
+        last_success = np.maximum.accumulate(np.where(failed, -1, at))
+        length = np.where(last_success < 0, at + 1 + before, at - last_success)
+        state.update((int(length[-1]),))
+        alarms = failed & (length >= alarm)
+        yield pd.DataFrame({"run_id": key[0], "event_id": rows["event_id"].to_numpy()[alarms], "length": length[alarms]})
 
     return stream.groupBy("run_id").applyInPandasWithState(step, RUN_SCHEMA, RUN_STATE, "append", GroupStateTimeout.NoTimeout)
 

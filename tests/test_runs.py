@@ -159,3 +159,54 @@ def test_labels_of_pairs_are_cleaned(spark):
     pages = spark.createDataFrame([("", [("发布 日期：", "2026-01-02"), (None, "x"), ("公开主体", None)])], "body_text string, metadata_pairs array<struct<label:string,value:string>>")
     r = C.detail_inspection(pages).first()
     assert r.header_detected and r["values"]["发布日期"] == "2026-01-02" and "公开主体" in r.missing
+
+
+def test_a_workbook_has_links_dates_marks_and_widths(spark, tmp_path):
+    import xml.dom.minidom
+    import zipfile
+
+    from sifthall.operators import report
+
+    df = spark.createDataFrame([(1, "https://a.example/x?a=1&b=2", date(2026, 1, 2), "x" * 60 + "\x01", True), (None, None, None, None, None)], "n int, url string, day date, text string, flag boolean")
+    report.write_workbook({report.SHEETS[1]: df, "other": df.limit(0)}, f"{tmp_path}/r.xlsx")
+    book = zipfile.ZipFile(f"{tmp_path}/r.xlsx")
+    parts = {n: book.read(n).decode() for n in book.namelist()}
+    for text in parts.values():
+        xml.dom.minidom.parseString(text)
+    sheet = parts["xl/worksheets/sheet1.xml"]
+    assert 'HYPERLINK("https://a.example/x?a=1&amp;b=2")' in sheet and '<c r="C2" s="4"><v>46024</v></c>' in sheet and 'max="4" width="48"' in sheet and 'max="1" width="10"' in sheet
+    assert 'ref="A1:E3"' in sheet and 'ref="A1:E1"' in parts["xl/worksheets/sheet2.xml"]
+
+
+def test_limits_are_checked():
+    from sifthall.settings import Limits
+
+    assert Limits.from_env(env={"SIFTHALL_RETRIES": "0", "SIFTHALL_LEAST_DELAY": " 2.5 ", "SIFTHALL_FAILURES": ""}) == Limits(retries=0, least_delay=2.5)
+    for bad in ({"least_delay": 11}, {"least_rest": 400}, {"retries": -1}, {"least_delay": 0.5}, {"rest_every": 0}):
+        with pytest.raises(ValueError):
+            Limits(**bad)
+
+
+def test_hops_are_checked_on_the_way(spark):
+    from sifthall.functions import web
+
+    hops = [("https://a.example/", 302, "x"), ("ftp://b.example/", 302, "y"), ("https://c.example/", 200, None)]
+    df = spark.createDataFrame([(hops,)], "hops array<struct<url:string,status:int,location:string>>")
+    walk = lambda check: tuple(df.select(web.walk_redirects(F.col("hops"), check=check).alias("w")).select("w.chain", "w.end").first())
+    assert walk(False) == ([h[0] for h in hops], "ok") and walk(True) == ([h[0] for h in hops[:2]], "blocked_target")
+
+
+def test_records_of_entries(spark):
+    docs = spark.createDataFrame([(1, "u", "", "agency", "n", date(2026, 1, 1), None, ""), (2, "v", "T", None, None, None, None, "d"), (3, "v", "T2", None, None, None, None, "d")], "id bigint, url string, title string, issuing_agency string, page_document_number string, published_date date, authored_date date, district string")
+    items = spark.createDataFrame([item(1, 1, url="u"), item(2, 1, url="v", index=1), item(3, 1, url="w", index=2), item(4, 1, url=None)], ITEMS)
+    got = [tuple(r) for r in J.opened(items, docs).orderBy("id").select("id", "title", "source", "outcome").collect()]
+    assert got[0] == (1, "t", "label a", "checked_complete") and got[1][3] == "review_required" and got[2] == (3, "t", "label a", "exception") and len(got) == 3
+    assert J.opened(items, docs, n=2).count() == 2 and J.opened(items.limit(0), docs).count() == 0
+
+
+def test_concurrency_and_contracts(spark):
+    jobs = spark.createDataFrame([job(1, start=0, end=4), job(2, start=1, end=2), job(3, sources=("c",), start=2, end=3), job(4, start=5, end=None)], JOBS)
+    assert rows(J.concurrency(jobs)) == [(1, 1, 1), (2, 2, 2), (3, 2, 1)]
+    items = spark.createDataFrame([item(1, 1), item(2, 1, version=0), item(3, 2, version=3)], ITEMS)
+    got = {r.id: (r.version, r.may_be_baseline) for r in J.contracts(jobs, items, 2).collect()}
+    assert got == {1: (0, False), 2: (3, True), 3: (None, False), 4: (None, False)}
