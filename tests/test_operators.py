@@ -121,7 +121,11 @@ def test_agency_rules(spark):
     agencies = spark.createDataFrame([(1, "甲区", "甲区人民政府", ["甲区政府"], ["甲府"]), (2, "甲区", "甲区教育局", None, ["甲教"])], "id bigint, district string, agency_name string, aliases array<string>, document_prefixes array<string>")
     docs = spark.createDataFrame([(1, "甲区", "关于丙市发展和改革委员会的通知", "甲区人民政府", "沪发〔2026〕1号", "甲区教育局"), (2, "甲区", "甲区政府通知", "甲区人民政府、甲区教育局", "甲府〔2026〕2号", ""), (3, "甲区", None, None, None, None), (4, "乙区", "x", "甲区人民政府", "甲府〔2026〕2号", "")], DOC)
     assert rows(R.first_agency(docs, agencies)) == [(1, 1), (2, 1)]
-    assert rows(rules.agency_findings(docs, agencies).select("document_id", "rule_code")) == [(1, "AGENCY-001"), (1, "AGENCY-002")]
+    assert rows(rules.agency_findings(docs, agencies, city="[一-鿿]{1,3}市").select("document_id", "rule_code")) == [(1, "AGENCY-001"), (1, "AGENCY-002")]
+    # by itself the rule looks for bodies of the one fixed city
+    assert rows(rules.agency_findings(docs, agencies).select("document_id", "rule_code")) == [(1, "AGENCY-001")]
+    fixed = docs.withColumn("title", F.regexp_replace("title", "丙市", rules.CITY))
+    assert rows(rules.agency_findings(fixed, agencies).select("document_id", "rule_code")) == [(1, "AGENCY-001"), (1, "AGENCY-002")]
 
 
 def test_number_and_date_rules(spark):
