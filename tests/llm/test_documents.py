@@ -302,6 +302,21 @@ def test_a_passage_that_a_third_of_all_texts_hold(spark):
     assert {(r.id_a, r.id_b) for r in M.found(spark.createDataFrame(docs, "id bigint, title string, body_text string")).collect()} == set(want) and len(want) >= 20
 
 
+def test_pairs_at_the_threshold_whose_runs_many_texts_hold(spark):
+    """Texts of a family share half of their runs and not one more, and no run of a family or of an ending is rare: each pair is found, in
+    one block of the index and in many."""
+    r = random.Random(61)
+    passage = lambda n: "".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(n))
+    families, endings = ([passage(n) for _ in range(36)] for n in (200, 98))
+    docs = [(100 * i + j, None, x + y) for i, x in enumerate(families) for j, y in enumerate(endings)]
+    want = pairs_by_hand(docs)
+    table = spark.createDataFrame(docs, "id bigint, title string, body_text string")
+    assert set(want.values()) == {0.5} and len(want) == 36 * 36 * 35 // 2
+    assert {(r.id_a, r.id_b) for r in M.found(table).collect()} == set(want)
+    links, _ = M.similar(M.texts_of(table), index_runs=40_000)
+    assert {(r.a, r.b) for r in links.collect()} == set(want)
+
+
 def test_pairs_of_one_key_in_blocks(spark):
     rows = spark.createDataFrame([("k", i) for i in range(50)] + [("l", 1), ("m", 1), ("m", 2)], "key string, id bigint")
     got = [(r.key, r.a, r.b) for r in M.pairs_within(rows, "key", "id", block=7).collect()]
